@@ -1,0 +1,6 @@
+"""No operator here keeps state over an endless stream.
+
+The mitigation steps in ``quasirisk.operators.mitigate`` are plain projections, so
+``apply_recipe`` works on a streaming DataFrame as it is; the risk metrics need the
+whole table.
+"""
