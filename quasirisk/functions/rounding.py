@@ -33,23 +33,19 @@ def python_round(value: Column, digits: int) -> Column:
     product, and the error decides apparent ties; true ties go to the even digit.
     """
     scale = float(10**digits)
-    product = value * scale
 
-    def halves(x):
+    def split(x):
         big = x * _SPLITTER
         high = big - (big - x)
         return high, x - high
 
-    v_high, v_low = halves(value)
-    s_big = scale * _SPLITTER
-    s_high = s_big - (s_big - scale)
-    s_low = scale - s_high
-    error = v_low * s_low - (product - v_high * s_high - v_low * s_high - v_high * s_low)
-    below = F.floor(product).cast("double")
-    tie = (product - below) == 0.5
-    rounded = (
-        F.when(tie & (error > 0), below + 1.0).when(tie & (error < 0), below).otherwise(F.rint(product))
-    )
-    # A product that rounded onto a whole number may really lie just beside it; that
-    # never changes which whole number is nearest.
-    return rounded / scale
+    def nearest(v):
+        product = v * scale
+        (v_high, v_low), (s_high, s_low) = split(v), split(scale)
+        error = v_low * s_low - (product - v_high * s_high - v_low * s_high - v_high * s_low)
+        below = F.floor(product).cast("double")
+        tie = (product - below) == 0.5
+        return F.when(tie & (error > 0), below + 1.0).when(tie & (error < 0), below).otherwise(F.rint(product)) / scale
+
+    # Through a lambda, so that the argument is evaluated once however often it is used.
+    return F.transform(F.array(value), nearest)[0]

@@ -95,10 +95,9 @@ def encode_categories(df: DataFrame, columns: Sequence[str], row_id: str) -> Dat
     require_columns(df, [row_id])
     keys = key_names(len(columns))
     base = materialize(collapse(df, columns))
-    tuples = encoded_tuples(df, base, columns).select(
-        F.struct(*keys).alias("key"), "n", *[F.col(f"e{i}").alias(c) for i, c in enumerate(columns)]
-    )
+    codes = [f"e{i}" for i in range(len(columns))]
+    tuples = encoded_tuples(df, base, columns).select(F.struct(*keys).alias("key"), "n", *codes)
     rows = keyed(df, columns, col(row_id).alias("rid")).select("rid", F.struct(*keys).alias("key"))
     total = base.agg(F.sum("n")).scalar()
     out = skew_safe_lookup(rows, tuples, "key", "n", total)
-    return out.select(F.col("rid").alias(row_id), *[col(c) for c in columns])
+    return out.select(F.col("rid").alias(row_id), *[F.col(e).alias(c) for e, c in zip(codes, columns)])

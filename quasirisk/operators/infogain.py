@@ -27,6 +27,8 @@ from quasirisk.plans.materialize import materialize
 from quasirisk.plans.quantile import exact_percentiles
 
 PREFIX = "cig_"
+# Number of table rows behind a row of ``information_gain``: the weight of its gains.
+WEIGHT = "group_rows"
 
 
 def gain_columns(gains: DataFrame) -> list[str]:
@@ -64,20 +66,28 @@ def information_gain(
     mask_nulls: bool = False,
     mask_values: Sequence = (),
 ) -> DataFrame:
-    """Gains of every distinct QI combination: QIs, ``n`` rows, ``cig_<column>``.., ``RIG``.
+    """Gains of every distinct QI combination: QIs, group_rows, ``cig_<column>``.., ``RIG``.
 
     A masked cell (NULL with mask_nulls, or equal to one of mask_values) counts as 0; its
-    value still takes part in the distributions.  ``n`` is the weight for the functions
-    below, which need no row-level table.
+    value still takes part in the distributions.  ``group_rows`` is the weight for the
+    functions below, which need no row-level table.
     """
     qi = require_columns(df, qi)
-    return _gains(df, materialize(collapse(df, qi)), qi, mask_nulls, mask_values)
+    if reserved := {WEIGHT, "RIG"} & set(qi):
+        raise ValueError(f"Reserved column names: {sorted(reserved)}")
+    gains = _gains(df, materialize(collapse(df, qi)), qi, mask_nulls, mask_values)
+    named = [F.col(k).alias(c) for k, c in zip(key_names(len(qi)), qi)]
+    return gains.select(*named, F.col("n").alias(WEIGHT), *_titled_gains(qi), "RIG")
+
+
+def _titled_gains(qi: Sequence[str]) -> list[Column]:
+    return [F.col(f"g{i}").alias(PREFIX + c) for i, c in enumerate(qi)]
 
 
 def _gains(
     df: DataFrame, base: DataFrame, qi: Sequence[str], mask_nulls: bool, mask_values: Sequence
 ) -> DataFrame:
-    """``information_gain`` from the materialised base (read several times below)."""
+    """k0.., n, g0.., RIG from the materialised base (read several times below)."""
     m = len(qi)
     keys = key_names(m)
     long = cells_by_column(base, m)
@@ -100,12 +110,12 @@ def _gains(
         .groupBy(*keys, "n")
         .agg(*[F.max(F.when(F.col("c") == i, F.greatest("gain", F.lit(0.0)))).alias(f"g{i}") for i in range(m)])
     )
-    gains = []
+    gains, total = [], F.lit(0.0)
     for i, (name, k) in enumerate(zip(qi, keys)):
         hit = _is_masked(df.schema[name].dataType, F.col(k), mask_nulls, mask_values)
-        gains.append(F.when(hit, F.lit(0.0)).otherwise(F.col(f"g{i}")).alias(PREFIX + name))
-    out = wide.select(*[F.col(k).alias(c) for k, c in zip(keys, qi)], "n", *gains)
-    return out.withColumn("RIG", row_gain(out))
+        gains.append(F.when(hit, F.lit(0.0)).otherwise(F.col(f"g{i}")).alias(f"g{i}"))
+        total = total + F.col(f"g{i}")
+    return wide.select(*keys, "n", *gains).withColumn("RIG", total)
 
 
 def row_gain(gains: DataFrame) -> Column:
@@ -130,19 +140,14 @@ def cell_information_gain(
     rows = keyed(df, qi, col(row_id).alias("rid")).select("rid", F.struct(*keys).alias("key"))
     base = materialize(collapse(df, qi))
     gains = _gains(df, base, qi, mask_nulls, mask_values)
-    per_key = gains.select(
-        F.struct(*[col(c).alias(k) for c, k in zip(qi, keys)]).alias("key"),
-        "n",
-        *[col(c) for c in gain_columns(gains)],
-        "RIG",
-    )
+    per_key = gains.select(F.struct(*keys).alias("key"), "n", *[f"g{i}" for i in range(len(qi))], "RIG")
     total = base.agg(F.sum("n")).scalar()
     out = skew_safe_lookup(rows, per_key, "key", "n", total)
-    return out.drop("key").withColumnRenamed("rid", row_id)
+    return out.select(F.col("rid").alias(row_id), *_titled_gains(qi), "RIG")
 
 
 def personal_information_factor(
-    gains: DataFrame, percentile: int = 95, weight: str | None = "n"
+    gains: DataFrame, percentile: int = 95, weight: str | None = WEIGHT
 ) -> DataFrame:
     """One row: percentile, pif (that percentile of RIG), safe_level."""
     if not 0 <= percentile <= 100:
@@ -170,14 +175,14 @@ def gain_matrix(gains: DataFrame, row_id: str) -> DataFrame:
     return gains.select(col(row_id), *[col(c).alias(c[len(PREFIX):]) for c in gain_columns(gains)])
 
 
-def gain_totals(gains: DataFrame, weight: str | None = "n") -> DataFrame:
+def gain_totals(gains: DataFrame, weight: str | None = WEIGHT) -> DataFrame:
     """Sum of each column's cell gains over all rows: column, total."""
     n = col(weight) if weight else F.lit(1)
     long = gain_long(gains.withColumn("_w", n), ["_w"])
     return long.groupBy("column").agg(F.sum(F.col("cig") * F.col("_w")).alias("total"))
 
 
-def gain_summary(gains: DataFrame, weight: str | None = "n") -> DataFrame:
+def gain_summary(gains: DataFrame, weight: str | None = WEIGHT) -> DataFrame:
     """Per column: mean, std, min, p25, p50, p75, max and is_top (highest mean).
 
     Raw values; round to two decimals for display.

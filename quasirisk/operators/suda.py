@@ -165,13 +165,14 @@ def suda_scores(
     level = _dis_level(base, sample_fraction)
     total = found.agg(F.sum("score")).scalar()
     dis = F.try_divide(F.col("score") * level["theta"] * level["ones"], total)
+    found = found.withColumn("dis", dis).withColumn("dis_score", python_round(F.col("dis"), 4))
     # Row ids are unique, so this join has no heavy keys.
     rows = df.select(col(row_id).alias("rid")).join(found, "rid", "left")
     return rows.select(
         F.col("rid").alias(row_id),
         F.coalesce("n_msu", F.lit(0)).alias("n_msu"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce(python_round(dis, 4), F.lit(0.0)).alias("dis_score"),
+        F.coalesce("dis_score", F.lit(0.0)).alias("dis_score"),
     ).withColumn("dis_prob", F.least("dis_score", F.lit(1.0)))
 
 

@@ -134,7 +134,7 @@ def combine_dictionary(profile: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def load_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """Read a column dictionary: a JSON object of column -> object; (column, metadata)."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("column", "metadata"))
 
 

@@ -185,15 +185,15 @@ SELECT id AS doc_id, round(x, 4) + 0.0 AS value, round(z, 4) + 0.0 AS z_score FR
     "dis_score_outliers_two_sided": Registered(
         lambda spark, sf: rounded(
             mad_outliers(
-                suda_scores(parts(spark, sf), PART_QI, "p_partkey"), "dis_score", "p_partkey", 0.5, two_sided=True
+                suda_scores(labelled_documents(spark, sf), DOC_QI, "doc_id"), "dis_score", "doc_id", 0.5, two_sided=True
             ),
             ["value", "z_score"], 4,
         ),
-        f"""WITH {PART_MSU}, {dis_sql(PART_QI, 0.2)},
+        f"""WITH {DOC_MSU}, {dis_sql(DOC_QI, 0.2)},
   s AS (SELECT t.id, coalesce(score, 0.0) AS score FROM t LEFT JOIN scored ON t.id = scored.id),
   d AS (SELECT id, CAST(printf('%.4f', score * (SELECT theta * ones FROM level) / (SELECT sum(score) FROM s)) AS DOUBLE) AS dis
     FROM s),
   {mad_sql("SELECT * FROM d", "dis", "id")}
-SELECT id AS p_partkey, round(x, 4) + 0.0 AS value, round(z, 4) + 0.0 AS z_score FROM scored_x WHERE abs(z) > 0.5""",
+SELECT id AS doc_id, round(x, 4) + 0.0 AS value, round(z, 4) + 0.0 AS z_score FROM scored_x WHERE abs(z) > 0.5""",
     ),
 }
