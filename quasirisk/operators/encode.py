@@ -89,15 +89,19 @@ def encoded_tuples(df: DataFrame, base: DataFrame, qi: Sequence[str]) -> DataFra
     return joined.select(*keys, "n", *[e.alias(f"e{i}") for i, e in enumerate(encoded)])
 
 
-def encode_categories(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
-    """row_id and the columns as doubles: codes for strings (NULL: -1), values otherwise."""
-    columns = require_columns(df, columns)
-    require_columns(df, [row_id])
+def encoded_rows(df: DataFrame, base: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
+    """Every row: rid, e0.. (the encoded columns)."""
     keys = key_names(len(columns))
-    base = materialize(collapse(df, columns))
     codes = [f"e{i}" for i in range(len(columns))]
     tuples = encoded_tuples(df, base, columns).select(F.struct(*keys).alias("key"), "n", *codes)
     rows = keyed(df, columns, col(row_id).alias("rid")).select("rid", F.struct(*keys).alias("key"))
     total = base.agg(F.sum("n")).scalar()
-    out = skew_safe_lookup(rows, tuples, "key", "n", total)
-    return out.select(F.col("rid").alias(row_id), *[F.col(e).alias(c) for e, c in zip(codes, columns)])
+    return skew_safe_lookup(rows, tuples, "key", "n", total).select("rid", *codes)
+
+
+def encode_categories(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
+    """row_id and the columns as doubles: codes for strings (NULL: -1), values otherwise."""
+    columns = require_columns(df, columns)
+    require_columns(df, [row_id])
+    out = encoded_rows(df, materialize(collapse(df, columns)), columns, row_id)
+    return out.select(F.col("rid").alias(row_id), *[F.col(f"e{i}").alias(c) for i, c in enumerate(columns)])

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quasirisk.functions.rounding import python_round
-from quasirisk.operators.encode import category_codes, encode_categories, string_columns
+from quasirisk.operators.encode import category_codes, encoded_rows, string_columns
 from quasirisk.plans.keys import bits_where, col, collapse, key_names, require_columns, require_mask_width
 from quasirisk.plans.lattice import cells, int_array, subset_masks
-from quasirisk.plans.materialize import materialize
+from quasirisk.plans.lookup import attach_unique
+from quasirisk.plans.materialize import Measured, materialize, materialize_measured
 
 # Up to this many subsets are counted in one pass; beyond, level by level with pruning.
 ONE_PASS_SUBSETS = 127
@@ -56,12 +57,12 @@ def special_uniques(
     missing_value=None,
     missing_nulls: bool = False,
     base: DataFrame | None = None,
-) -> DataFrame:
+) -> Measured:
     """Records with at least one MSU: rid, k0.., ``msus`` (bitmasks, smallest first).
 
     A cell equal to missing_value (or NULL, with missing_nulls) takes part in no MSU;
     by default NULL is a value like any other.  ``base`` is the materialised collapsed
-    table, for callers that need it themselves.  The result is materialised.
+    table, for callers that need it themselves.  The result is materialised and measured.
     """
     qi = require_columns(df, qi)
     require_columns(df, [row_id])
@@ -83,7 +84,8 @@ def special_uniques(
         found = uniques(base.withColumn("mask", F.explode(usable)))
         # Only records alone in their full combination can be unique on a subset.
         singles = base.where(F.col("n") == 1).select("rid", *keys)
-        return materialize(singles.join(found, "rid").select("rid", *keys, _minimal(F.col("found")).alias("msus")))
+        minimal = _minimal(F.col("found")).alias("msus")
+        return materialize_measured(singles.join(found, "rid").select("rid", *keys, minimal))
 
     # A record unique on T is alone in its cell for every superset of T, so leaving it
     # out there changes no other cell: each level counts only what is still open.
@@ -96,7 +98,7 @@ def special_uniques(
         found = uniques(state.withColumn("mask", F.explode(open_masks)).select("mask", *keys, "n", "rid"))
         grown = F.concat("msus", F.coalesce(F.array_sort("found"), F.array().cast("array<int>")))
         state = materialize(state.join(found, "rid", "left").withColumn("msus", grown).drop("found"))
-    return state.where(F.size("msus") > 0).select("rid", *keys, "msus")
+    return materialize_measured(state.where(F.size("msus") > 0).select("rid", *keys, "msus"))
 
 
 def msu_weights(m: int, max_size: int | None = None) -> list[float]:
@@ -137,7 +139,7 @@ def _dis_level(base: DataFrame, sample_fraction: float) -> Column:
 
 def minimal_sample_uniques(df: DataFrame, qi: Sequence[str], row_id: str, **options) -> DataFrame:
     """One row per record and MSU: row_id, msu (column names joined by ", "), size."""
-    found = special_uniques(df, qi, row_id, **options)
+    found = special_uniques(df, qi, row_id, **options).table
     names = F.array(*[F.lit(c) for c in qi])
     flags = F.expr("array(" + ", ".join(str(1 << i) for i in range(len(qi))) + ")")
     out = found.select(F.col("rid").alias(row_id), F.explode("msus").alias("mask"))
@@ -147,6 +149,21 @@ def minimal_sample_uniques(df: DataFrame, qi: Sequence[str], row_id: str, **opti
     return out.select(col(row_id), F.array_join(chosen, ", ").alias("msu"), F.bit_count("mask").alias("size"))
 
 
+def _scored(
+    df: DataFrame, base: DataFrame, qi: Sequence[str], row_id: str, sample_fraction: float, max_size: int | None, **options
+) -> Measured:
+    """Special uniques only: rid, n_msu, score, dis_score; with the size of their table."""
+    if not 0 < sample_fraction <= 1:
+        raise ValueError("sample_fraction must be in (0, 1].")
+    uniques = special_uniques(df, qi, row_id, max_size=max_size, base=base, **options)
+    found = _weighted(uniques.table, len(qi), max_size).select("rid", F.size("msus").alias("n_msu"), "score")
+    level = _dis_level(base, sample_fraction)
+    total = found.agg(F.sum("score")).scalar()
+    dis = F.try_divide(F.col("score") * level["theta"] * level["ones"], total)
+    scored = found.withColumn("dis", dis).withColumn("dis_score", python_round(F.col("dis"), 4)).drop("dis")
+    return Measured(scored, uniques.rows, uniques.bytes)
+
+
 def suda_scores(
     df: DataFrame, qi: Sequence[str], row_id: str, sample_fraction: float = 0.2, max_size: int | None = None, **options
 ) -> DataFrame:
@@ -156,18 +173,10 @@ def suda_scores(
     records by score, with mean theta over the size-1 cells; it is not capped.
     """
     qi = require_columns(df, qi)
-    m = len(qi)
-    if not 0 < sample_fraction <= 1:
-        raise ValueError("sample_fraction must be in (0, 1].")
+    require_columns(df, [row_id])
     base = materialize(collapse(df, qi, row_id))
-    found = _weighted(special_uniques(df, qi, row_id, max_size=max_size, base=base, **options), m, max_size)
-    found = found.select("rid", F.size("msus").alias("n_msu"), "score")
-    level = _dis_level(base, sample_fraction)
-    total = found.agg(F.sum("score")).scalar()
-    dis = F.try_divide(F.col("score") * level["theta"] * level["ones"], total)
-    found = found.withColumn("dis", dis).withColumn("dis_score", python_round(F.col("dis"), 4))
-    # Row ids are unique, so this join has no heavy keys.
-    rows = df.select(col(row_id).alias("rid")).join(found, "rid", "left")
+    scored = _scored(df, base, qi, row_id, sample_fraction, max_size, **options)
+    rows = attach_unique(df.select(col(row_id).alias("rid")), scored, "rid")
     return rows.select(
         F.col("rid").alias(row_id),
         F.coalesce("n_msu", F.lit(0)).alias("n_msu"),
@@ -204,7 +213,7 @@ def attribute_contributions(
     Shares overlap, so they add up to more than 100.  Unrounded; see ``rounded``.
     """
     qi = require_columns(df, qi)
-    found = _weighted(special_uniques(df, qi, row_id, max_size=max_size, **options), len(qi), max_size)
+    found = _weighted(special_uniques(df, qi, row_id, max_size=max_size, **options).table, len(qi), max_size)
     sums = found.agg(F.sum("score").alias("score"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(qi))])
     return sums.select("score", _column_entries(qi)).select(
         F.col("e.variable").alias("variable"),
@@ -221,7 +230,7 @@ def attribute_level_contributions(
     of string columns (NULL value: -1) and the number itself for others.
     """
     qi = require_columns(df, qi)
-    found = _weighted(special_uniques(df, qi, row_id, max_size=max_size, **options), len(qi), max_size)
+    found = _weighted(special_uniques(df, qi, row_id, max_size=max_size, **options).table, len(qi), max_size)
     text = string_columns(df, qi)
     number = lambda i: F.lit(None).cast("double") if qi[i] in text else F.col(f"k{i}").cast("double")
     levels = (
@@ -246,7 +255,7 @@ def record_contributions(
 ) -> DataFrame:
     """Per special unique: share (%) of the record's score by column, ``pct_<column>``."""
     qi = require_columns(df, qi)
-    found = _weighted(special_uniques(df, qi, row_id, max_size=max_size, **options), len(qi), max_size)
+    found = _weighted(special_uniques(df, qi, row_id, max_size=max_size, **options).table, len(qi), max_size)
     shares = [(F.col(f"w{i}") * 100.0 / F.col("score")).alias(f"pct_{c}") for i, c in enumerate(qi)]
     return found.select(F.col("rid").alias(row_id), *shares)
 
@@ -260,8 +269,17 @@ def rounded(contributions: DataFrame) -> DataFrame:
 
 
 def suda_record_table(
-    df: DataFrame, qi: Sequence[str], row_id: str, sample_fraction: float = 0.2, **options
+    df: DataFrame, qi: Sequence[str], row_id: str, sample_fraction: float = 0.2, max_size: int | None = None, **options
 ) -> DataFrame:
     """Every row: row_id, the QIs encoded as doubles, dis_score, score."""
-    scores = suda_scores(df, qi, row_id, sample_fraction, **options).select(col(row_id), "dis_score", "score")
-    return encode_categories(df, qi, row_id).join(scores, row_id)
+    qi = require_columns(df, qi)
+    require_columns(df, [row_id])
+    base = materialize(collapse(df, qi, row_id))
+    scored = _scored(df, base, qi, row_id, sample_fraction, max_size, **options)
+    rows = attach_unique(encoded_rows(df, base, qi, row_id), scored, "rid")
+    return rows.select(
+        F.col("rid").alias(row_id),
+        *[F.col(f"e{i}").alias(c) for i, c in enumerate(qi)],
+        F.coalesce("dis_score", F.lit(0.0)).alias("dis_score"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+    )

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quasirisk.plans.materialize import materialize_measured
+from quasirisk.plans.materialize import Measured, materialize_measured
 
 # At most this many keys per family can hold more than 1/HOT_SHARE of the rows.
 HOT_SHARE = 1000
@@ -42,3 +42,9 @@ def skew_safe_lookup(
     cold = known.table.where(~is_hot).drop(rows_per_key)
     light = left.join(hot.select(on), on, "left_anti")
     return left.join(hot, on).unionByName(light.join(cold, on))
+
+
+def attach_unique(left: DataFrame, right: Measured, on: str) -> DataFrame:
+    """Left join on a key unique on both sides: broadcast if measured small, else shuffle."""
+    small = right.bytes <= BROADCAST_BYTES
+    return left.join(F.broadcast(right.table) if small else right.table, on, "left")
