@@ -49,6 +49,8 @@ def main() -> None:
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="12g",
+        # Python call sites attached to every expression: for debugging only.
+        spark__python__sql__dataFrameDebugging__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     known = registered()

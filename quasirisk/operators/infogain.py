@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from quasirisk.functions.levels import safe_level
 from quasirisk.plans.keys import col, collapse, key_names, keyed, require_columns
-from quasirisk.plans.lookup import skew_safe_lookup
-from quasirisk.plans.materialize import materialize
+from quasirisk.plans.lookup import is_small, skew_safe_lookup
+from quasirisk.plans.materialize import materialize, materialize_measured
 from quasirisk.plans.quantile import exact_percentiles
 
 PREFIX = "cig_"
@@ -36,13 +36,18 @@ def gain_columns(gains: DataFrame) -> list[str]:
     return [c for c in gains.columns if c.startswith(PREFIX)]
 
 
+def _others(i: int, m: int) -> Column:
+    """Key of a base row without column i, equal to ``others`` of ``cells_by_column``."""
+    rest = [f"'{k}', IF({j} <> {i}, {k}, NULL)" for j, k in enumerate(key_names(m))]
+    return F.expr(f"named_struct('c', {i}, {', '.join(rest)})")
+
+
 def cells_by_column(base: DataFrame, m: int) -> DataFrame:
     """Explode base rows by column c: ``own`` = (c, its value), ``others`` = (c, the rest)."""
-    keys = key_names(m)
-    own = [F.when(F.col("c") == i, F.col(k)).alias(k) for i, k in enumerate(keys)]
-    rest = [F.when(F.col("c") != i, F.col(k)).alias(k) for i, k in enumerate(keys)]
-    return base.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(
-        F.struct("c", *own).alias("own"), F.struct("c", *rest).alias("others"), "n"
+    own = ", ".join(f"'{k}', IF(c = {i}, {k}, NULL)" for i, k in enumerate(key_names(m)))
+    rest = ", ".join(f"'{k}', IF(c <> {i}, {k}, NULL)" for i, k in enumerate(key_names(m)))
+    return base.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).selectExpr(
+        f"named_struct('c', c, {own}) AS own", f"named_struct('c', c, {rest}) AS others", "n"
     )
 
 
@@ -104,12 +109,20 @@ def _gains(
             (F.col("bits") / F.col("rows") + F.log2(totals["rows"] / F.col("rows"))).alias("gain"),
         )
     )
-    found = skew_safe_lookup(long, divergence, "others", "cells_others", totals["cells"])
-    wide = (
-        found.select(*regrouped_keys(m), "n", F.col("own.c").alias("c"), "gain")
-        .groupBy(*keys, "n")
-        .agg(*[F.max(F.when(F.col("c") == i, F.greatest("gain", F.lit(0.0)))).alias(f"g{i}") for i in range(m)])
-    )
+    known = materialize_measured(divergence)
+    if is_small(known):
+        # One broadcast, shared by a join per column; the base is not shuffled.
+        wide = base
+        for i in range(m):
+            mine = F.broadcast(known.table).select(F.col("others").alias("o"), F.greatest("gain", F.lit(0.0)).alias(f"g{i}"))
+            wide = wide.join(mine, _others(i, m) == F.col("o")).drop("o")
+    else:
+        found = skew_safe_lookup(long, known, "others", "cells_others", totals["cells"])
+        wide = (
+            found.select(*regrouped_keys(m), "n", F.col("own.c").alias("c"), "gain")
+            .groupBy(*keys, "n")
+            .agg(*[F.max(F.when(F.col("c") == i, F.greatest("gain", F.lit(0.0)))).alias(f"g{i}") for i in range(m)])
+        )
     gains, total = [], F.lit(0.0)
     for i, (name, k) in enumerate(zip(qi, keys)):
         hit = _is_masked(df.schema[name].dataType, F.col(k), mask_nulls, mask_values)

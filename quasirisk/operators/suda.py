@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 from quasirisk.functions.rounding import python_round
 from quasirisk.operators.encode import category_codes, encoded_rows, string_columns
 from quasirisk.plans.keys import bits_where, col, collapse, key_names, require_columns, require_mask_width
-from quasirisk.plans.lattice import cells, int_array, subset_masks
+from quasirisk.plans.lattice import cells, int_array, subset_cells, subset_masks
 from quasirisk.plans.lookup import attach_unique
 from quasirisk.plans.materialize import Measured, materialize, materialize_measured
 
-# Up to this many subsets are counted in one pass; beyond, level by level with pruning.
+# Up to this many subsets are counted together; beyond, level by level with pruning.
 ONE_PASS_SUBSETS = 127
 
 
@@ -73,15 +73,13 @@ def special_uniques(
     blocked = _missing_bits(df, qi, missing_value, missing_nulls)
     if base is None:
         base = materialize(collapse(df, qi, row_id))
-    base = base.withColumn("blocked", blocked)
     keys = key_names(m)
 
-    def uniques(rows: DataFrame) -> DataFrame:
-        return cells(rows, m, with_id=True).where(F.col("n") == 1).groupBy("rid").agg(F.collect_list("mask").alias("found"))
+    def uniques(counted: DataFrame) -> DataFrame:
+        return counted.where(F.col("n") == 1).groupBy("rid").agg(F.collect_list("mask").alias("found"))
 
     if len(subset_masks(m, 1, top)) <= ONE_PASS_SUBSETS:
-        usable = F.filter(int_array(subset_masks(m, 1, top)), lambda s: s.bitwiseAND(F.col("blocked")) == 0)
-        found = uniques(base.withColumn("mask", F.explode(usable)))
+        found = uniques(subset_cells(base, m, subset_masks(m, 1, top), blocked, with_id=True))
         # Only records alone in their full combination can be unique on a subset.
         singles = base.where(F.col("n") == 1).select("rid", *keys)
         minimal = _minimal(F.col("found")).alias("msus")
@@ -89,13 +87,13 @@ def special_uniques(
 
     # A record unique on T is alone in its cell for every superset of T, so leaving it
     # out there changes no other cell: each level counts only what is still open.
-    state = materialize(base.withColumn("msus", F.array().cast("array<int>")))
+    state = materialize(base.withColumn("blocked", blocked).withColumn("msus", F.array().cast("array<int>")))
     for size in range(1, top + 1):
         open_masks = F.filter(
             int_array(subset_masks(m, size, size)),
             lambda s: (s.bitwiseAND(F.col("blocked")) == 0) & ~F.exists(F.col("msus"), lambda y: s.bitwiseAND(y) == y),
         )
-        found = uniques(state.withColumn("mask", F.explode(open_masks)).select("mask", *keys, "n", "rid"))
+        found = uniques(cells(state.withColumn("mask", F.explode(open_masks)), m, with_id=True))
         grown = F.concat("msus", F.coalesce(F.array_sort("found"), F.array().cast("array<int>")))
         state = materialize(state.join(found, "rid", "left").withColumn("msus", grown).drop("found"))
     return materialize_measured(state.where(F.size("msus") > 0).select("rid", *keys, "msus"))

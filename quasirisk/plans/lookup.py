@@ -20,13 +20,12 @@ HOT_SHARE = 1000
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+def is_small(right: Measured) -> bool:
+    return right.bytes <= BROADCAST_BYTES
+
+
 def skew_safe_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: str,
-    rows_per_key: str,
-    total_rows: Column,
-    broadcast_bytes: int | None = None,
+    left: DataFrame, right: DataFrame | Measured, on: str, rows_per_key: str, total_rows: Column
 ) -> DataFrame:
     """Inner join of ``left`` with ``right`` (unique on ``on``), safe for heavy keys.
 
@@ -34,8 +33,8 @@ def skew_safe_lookup(
     the join null-safe while staying an equi-join.  Each left key should be present on
     the right.
     """
-    known = materialize_measured(right)
-    if known.bytes <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+    known = right if isinstance(right, Measured) else materialize_measured(right)
+    if is_small(known):
         return left.join(F.broadcast(known.table.drop(rows_per_key)), on)
     is_hot = F.col(rows_per_key) * F.lit(HOT_SHARE) > total_rows
     hot = F.broadcast(known.table.where(is_hot).drop(rows_per_key))
@@ -46,5 +45,4 @@ def skew_safe_lookup(
 
 def attach_unique(left: DataFrame, right: Measured, on: str) -> DataFrame:
     """Left join on a key unique on both sides: broadcast if measured small, else shuffle."""
-    small = right.bytes <= BROADCAST_BYTES
-    return left.join(F.broadcast(right.table) if small else right.table, on, "left")
+    return left.join(F.broadcast(right.table) if is_small(right) else right.table, on, "left")

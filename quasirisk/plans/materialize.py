@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,27 +46,23 @@ class Measured:
     bytes: int
 
 
-def _width(value: Column, dtype: T.DataType) -> Column:
-    """Bytes held by a value: fixed-size types count 16, text its length."""
+def _width(value: str, dtype: T.DataType) -> str:
+    """SQL for the bytes held by a value: fixed-size types count 16, text its length."""
     if isinstance(dtype, T.StructType):
-        total = F.lit(8)
-        for f in dtype.fields:
-            total = total + _width(value.getField(f.name), f.dataType)
-        return total
+        return " + ".join(["8", *[_width(f"{value}.`{f.name}`", f.dataType) for f in dtype.fields]])
     if isinstance(dtype, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+        return f"coalesce(octet_length({value}), 0) + 16"
     if isinstance(dtype, T.ArrayType):
-        return F.coalesce(F.size(value), F.lit(0)) * 16 + 16
-    return F.lit(16)
+        return f"coalesce(size({value}), 0) * 16 + 16"
+    return "16"
 
 
 def materialize_measured(df: DataFrame) -> Measured:
     """``materialize`` that also counts rows and bytes, in the same job."""
     shared_dir(df.sparkSession)
     seen = Observation()
-    width = F.lit(0)
-    for f in df.schema.fields:
-        width = width + _width(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType)
-    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width.cast("long")).alias("bytes"))
+    # Internal column names only, so they need no escaping beyond backticks.
+    width = " + ".join(_width(f"`{f.name}`", f.dataType) for f in df.schema.fields)
+    watched = df.observe(seen, F.expr("count(1) AS rows"), F.expr(f"sum(CAST({width} AS BIGINT)) AS bytes"))
     table = watched.checkpoint(eager=True)
     return Measured(table, seen.get["rows"], seen.get["bytes"] or 0)
