@@ -28,7 +28,7 @@ from quasirisk.operators.mitigate import (
     suppress_rows,
 )
 from quasirisk.operators.outliers import boxplot_statistics, mad_outliers
-from quasirisk.operators.risk import k_anonymity, l_diversity, risk_summary, unique_rows
+from quasirisk.operators.risk import collapse_table, k_anonymity, l_diversity, risk_summary, unique_rows
 from quasirisk.operators.suda import (
     attribute_contributions,
     attribute_level_contributions,

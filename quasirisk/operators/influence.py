@@ -16,7 +16,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def column_influence(df: DataFrame, qi: Sequence[str]) -> DataFrame:
+def column_influence(df: DataFrame, qi: Sequence[str], weight: str | None = None) -> DataFrame:
     """Uniques lost when one column is left out, also per distinct value of that column.
 
     Columns: column, unique_count_after_removal, difference, distinct_values, ratio,
@@ -28,7 +28,7 @@ def column_influence(df: DataFrame, qi: Sequence[str]) -> DataFrame:
     full = (1 << m) - 1
     masks = sorted({full} | {full ^ (1 << i) for i in range(m)} | {1 << i for i in range(m)} - {0})
     masks = [s for s in masks if s]
-    stats = subset_statistics(collapse(df, qi), m, masks, drop_nulls=False)
+    stats = subset_statistics(collapse(df, qi, weight=weight), m, masks, drop_nulls=False)
     rows = ", ".join(
         f"named_struct('position', {i}, 'column', {_quoted(c)}, 'rest', {full ^ (1 << i)}, 'own', {1 << i})"
         for i, c in enumerate(qi)
@@ -51,7 +51,7 @@ def column_influence(df: DataFrame, qi: Sequence[str]) -> DataFrame:
 
 
 def combination_contribution(
-    df: DataFrame, qi: Sequence[str], min_size: int = 3, max_size: int = 7
+    df: DataFrame, qi: Sequence[str], min_size: int = 3, max_size: int = 7, weight: str | None = None
 ) -> DataFrame:
     """Uniques of every column subset and of its complement.
 
@@ -68,7 +68,7 @@ def combination_contribution(
     if not wanted:
         raise ValueError("min_size exceeds the number of columns.")
     masks = sorted(({full} | set(wanted) | {full ^ s for s in wanted}) - {0})
-    stats = subset_statistics(collapse(df, qi), m, masks, drop_nulls=True)
+    stats = subset_statistics(collapse(df, qi, weight=weight), m, masks, drop_nulls=True)
     rows = ", ".join(
         f"named_struct('combination', {_quoted(subset_name(s, qi))}, 'size', {s.bit_count()}, "
         f"'mask', {s}, 'rest', {full ^ s})"

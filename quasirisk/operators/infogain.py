@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quasirisk.functions.levels import safe_level
+from quasirisk.operators.risk import WEIGHT
 from quasirisk.plans.keys import col, collapse, key_names, keyed, require_columns
 from quasirisk.plans.lookup import is_small, skew_safe_lookup
 from quasirisk.plans.materialize import materialize, materialize_measured
 from quasirisk.plans.quantile import exact_percentiles
 
 PREFIX = "cig_"
-# Number of table rows behind a row of ``information_gain``: the weight of its gains.
-WEIGHT = "group_rows"
 
 
 def gain_columns(gains: DataFrame) -> list[str]:
@@ -70,6 +69,7 @@ def information_gain(
     qi: Sequence[str],
     mask_nulls: bool = False,
     mask_values: Sequence = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Gains of every distinct QI combination: QIs, group_rows, ``cig_<column>``.., ``RIG``.
 
@@ -80,7 +80,7 @@ def information_gain(
     qi = require_columns(df, qi)
     if reserved := {WEIGHT, "RIG"} & set(qi):
         raise ValueError(f"Reserved column names: {sorted(reserved)}")
-    gains = _gains(df, materialize(collapse(df, qi)), qi, mask_nulls, mask_values)
+    gains = _gains(df, materialize(collapse(df, qi, weight=weight)), qi, mask_nulls, mask_values)
     named = [F.col(k).alias(c) for k, c in zip(key_names(len(qi)), qi)]
     return gains.select(*named, F.col("n").alias(WEIGHT), *_titled_gains(qi), "RIG")
 

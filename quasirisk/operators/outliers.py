@@ -15,28 +15,42 @@ DEFAULT_K = 2.2414
 MIN_VALUES = 5
 
 
-def _with_series(counts: DataFrame) -> DataFrame:
-    """Value counts as two series: 0 = all values, 1 = non-zero values only."""
+def _series(counts: Measured, zero_fallback: bool) -> DataFrame:
+    """Value counts by series: 0 = all values, 1 = non-zero values, where it may be needed.
+
+    The MAD can only be zero if one value holds at least half of the rows, so otherwise
+    the second series is left out.
+    """
+    may_fall_back = zero_fallback and (counts.seen["heaviest"] or 0) * 2 >= (counts.seen["total"] or 0)
+    if not may_fall_back:
+        return counts.table.withColumn("series", F.lit(0))
     both = F.when(F.col("x") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return counts.withColumn("series", F.explode(both))
+    return counts.table.withColumn("series", F.explode(both))
+
+
+def _by_series(figures: DataFrame, column: str) -> Column:
+    """The figure of a row's series, looked up in a map with one entry per series."""
+    entries = F.map_from_entries(F.collect_list(F.struct("series", column)))
+    return F.element_at(figures.agg(entries).scalar(), F.col("series"))
 
 
 def _robust_scale(counts: Measured, zero_fallback: bool) -> DataFrame:
     """At most one row: the series to test with its median, quartiles and MAD."""
     one_task = counts.rows <= ONE_TASK_VALUES
-    series = _with_series(counts.table)
-    spread = percentiles_of_counts(series, [0.25, 0.5, 0.75], ["series"], one_task).select(
+    series = _series(counts, zero_fallback)
+    quartiles = percentiles_of_counts(series, [0.25, 0.5, 0.75], ["series"], one_task)
+    spread = materialize(quartiles.select(
         "series", F.col("total").alias("rows"), F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3")
-    )
-    # Two rows, one per series.
-    away = series.join(F.broadcast(spread.select("series", "median")), "series").select(
-        "series", F.abs(F.col("x") - F.col("median")).alias("x"), "n"
-    )
+    ))
+    # At most two rows, one per series, from here on.
+    median = _by_series(spread, "median")
+    away = series.select("series", F.abs(F.col("x") - median).alias("x"), "n")
     if not one_task:
         away = materialize(away.groupBy("series", "x").agg(F.sum("n").alias("n")))
-    mads = percentiles_of_counts(away, [0.5], ["series"], one_task).select("series", F.col("p0").alias("mad"))
+    mads = percentiles_of_counts(away, [0.5], ["series"], one_task)
+    scales = spread.withColumn("mad", _by_series(mads, "p0"))
     fields = F.struct("series", "rows", "q1", "median", "q3", "mad")
-    both = spread.join(F.broadcast(mads), "series").agg(
+    both = scales.agg(
         F.max(F.when(F.col("series") == 0, fields)).alias("all"),
         F.max(F.when(F.col("series") == 1, fields)).alias("nonzero"),
     )

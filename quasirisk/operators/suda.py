@@ -57,6 +57,7 @@ def special_uniques(
     missing_value=None,
     missing_nulls: bool = False,
     base: DataFrame | None = None,
+    weight: str | None = None,
 ) -> Measured:
     """Records with at least one MSU: rid, k0.., ``msus`` (bitmasks, smallest first).
 
@@ -72,7 +73,7 @@ def special_uniques(
         raise ValueError("max_size must lie between 1 and the number of columns.")
     blocked = _missing_bits(df, qi, missing_value, missing_nulls)
     if base is None:
-        base = materialize(collapse(df, qi, row_id))
+        base = materialize(collapse(df, qi, row_id, weight))
     keys = key_names(m)
 
     def uniques(counted: DataFrame) -> DataFrame:
@@ -183,9 +184,11 @@ def suda_scores(
     ).withColumn("dis_prob", F.least("dis_score", F.lit(1.0)))
 
 
-def file_level_risk(df: DataFrame, qi: Sequence[str], sample_fraction: float = 0.2) -> DataFrame:
+def file_level_risk(
+    df: DataFrame, qi: Sequence[str], sample_fraction: float = 0.2, weight: str | None = None
+) -> DataFrame:
     """One row: cells of size 1 and 2 and the file-level intrusion risk theta."""
-    base = collapse(df, require_columns(df, qi))
+    base = collapse(df, require_columns(df, qi), weight=weight)
     p = float(sample_fraction)
     counts = base.agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"))
     theta = F.try_divide(p * F.col("ones"), p * F.col("ones") + 2.0 * (1.0 - p) * F.col("twos"))

@@ -57,10 +57,15 @@ def keyed(df: DataFrame, qi: Sequence[str], *extra: Column) -> DataFrame:
     return df.select(*[clean(df, c).alias(k) for c, k in zip(qi, key_names(len(qi)))], *extra)
 
 
-def collapse(df: DataFrame, qi: Sequence[str], row_id: str | None = None) -> DataFrame:
+def row_weight(weight: str | None) -> Column:
+    """How many rows of the original table a row stands for."""
+    return col(weight).cast("long") if weight else F.lit(1).cast("long")
+
+
+def collapse(df: DataFrame, qi: Sequence[str], row_id: str | None = None, weight: str | None = None) -> DataFrame:
     """One row per distinct QI combination: k0.., ``n`` rows, smallest ``rid``."""
-    extra = [col(row_id).alias("rid")] if row_id else []
-    aggs = [F.count(F.lit(1)).alias("n")]
+    extra = [row_weight(weight).alias("n"), *([col(row_id).alias("rid")] if row_id else [])]
+    aggs = [F.sum("n").alias("n")]
     if row_id:
         aggs.append(F.min("rid").alias("rid"))
     return keyed(df, qi, *extra).groupBy(*key_names(len(qi))).agg(*aggs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +39,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Measured:
-    """A materialised table with its row count and size in bytes."""
+    """A materialised table with its row count, size in bytes and other observed sums."""
 
     table: DataFrame
     rows: int
     bytes: int
+    seen: dict = field(default_factory=dict)
 
 
 def _width(value: str, dtype: T.DataType) -> str:
@@ -57,12 +58,18 @@ def _width(value: str, dtype: T.DataType) -> str:
     return "16"
 
 
-def materialize_measured(df: DataFrame) -> Measured:
-    """``materialize`` that also counts rows and bytes, in the same job."""
+def materialize_measured(df: DataFrame, **aggregates: str) -> Measured:
+    """``materialize`` that also counts rows and bytes, in the same job.
+
+    ``aggregates`` are further SQL aggregates to observe by name.  A retried task may be
+    counted twice, so the figures can be too high; they only choose between plans.
+    """
     shared_dir(df.sparkSession)
     seen = Observation()
     # Internal column names only, so they need no escaping beyond backticks.
     width = " + ".join(_width(f"`{f.name}`", f.dataType) for f in df.schema.fields)
-    watched = df.observe(seen, F.expr("count(1) AS rows"), F.expr(f"sum(CAST({width} AS BIGINT)) AS bytes"))
+    watched = df.observe(seen, F.expr("count(1) AS rows"), F.expr(f"sum(CAST({width} AS BIGINT)) AS bytes"),
+                         *[F.expr(f"{sql} AS {name}") for name, sql in aggregates.items()])
     table = watched.checkpoint(eager=True)
-    return Measured(table, seen.get["rows"], seen.get["bytes"] or 0)
+    figures = seen.get
+    return Measured(table, figures["rows"], figures["bytes"] or 0, {a: figures[a] for a in aggregates})

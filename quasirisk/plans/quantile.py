@@ -11,6 +11,7 @@ so the answer is the same however Spark splits them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def value_counts(df: DataFrame, value: str, weight: str | None = None, by: Seque
         .groupBy(*by, "x")
         .agg(F.sum("n").alias("n"))
     )
-    return materialize_measured(counts)
+    return materialize_measured(counts, total="sum(n)", heaviest="max(n)")
 
 
 def percentiles_of_counts(
@@ -77,13 +78,15 @@ def _percentiles_by_range(counts: DataFrame, fractions: Sequence[float], by: lis
         .groupBy(*by, "f", "position", "low_rank", "high_rank", "total")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before"))
     )
-    renamed = picks.select(*[F.col(b).alias(f"_{b}") for b in by], *[c for c in picks.columns if c not in by])
-    inside = F.col("x").between(F.col("lo"), F.col("hi"))
-    for b in by:
-        inside = inside & (F.col(b) == F.col(f"_{b}"))
-    # picks: one row per group and fraction, so the broadcast is bounded by the call.
+    # One entry per group and fraction, so the list is bounded by the call.
+    listed = picks.agg(F.collect_list(F.struct(*picks.columns))).scalar()
+    here = lambda p: reduce(
+        lambda all_of, b: all_of & (p[b] == F.col(b)), by, (p["lo"] <= F.col("x")) & (F.col("x") <= p["hi"])
+    )
+    found = counts.withColumn("picks", listed).withColumn("p", F.explode(F.filter("picks", here)))
+    fields = [F.col(f"p.{c}").alias(c) for c in picks.columns if c not in by]
     running = Window.partitionBy(*by, "f").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.join(F.broadcast(renamed), inside).withColumn("seen", F.col("before") + F.sum("n").over(running))
+    ranked = found.select(*by, "x", "n", *fields).withColumn("seen", F.col("before") + F.sum("n").over(running))
     value_at = lambda rank: F.min(F.when(F.col("seen") > F.col(rank), F.col("x")))
     points = ranked.groupBy(*by, "f", "total", "position", "low_rank").agg(
         value_at("low_rank").alias("low"), value_at("high_rank").alias("high")

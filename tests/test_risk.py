@@ -3,8 +3,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quasirisk import (
+    attribute_contributions,
+    collapse_table,
     column_influence,
     combination_contribution,
+    gain_totals,
+    information_gain,
     k_anonymity,
     l_diversity,
     risk_summary,
@@ -121,3 +125,22 @@ def test_bad_sizes(five_rows):
     for low, high in ((0, 2), (3, 2), (4, 5)):
         with pytest.raises(ValueError):
             combination_contribution(five_rows, QI, low, high)
+
+
+def test_collapsed_table_gives_the_same(spark):
+    rows = [(i, i % 3, "x" if i < 20 else f"v{i % 7}", i % 4) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, a long, b string, s long")
+    qi, w = ["a", "b"], {"weight": "group_rows"}
+    once = collapse_table(df, [*qi, "s"], "id")
+    assert once.columns == ["a", "b", "s", "group_rows", "id"]
+    same = lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+    five_columns = df.withColumn("more", df.id)
+    assert same(risk_summary(once, qi, "s", **w), risk_summary(five_columns, qi, "s"))
+    assert same(column_influence(once, qi, **w), column_influence(df, qi))
+    assert same(combination_contribution(once, qi, 1, 2, **w), combination_contribution(df, qi, 1, 2))
+    left = {r["column"]: r["total"] for r in gain_totals(information_gain(once, qi, **w)).collect()}
+    assert left == pytest.approx({r["column"]: r["total"] for r in gain_totals(information_gain(df, qi)).collect()})
+    three = [*qi, "s"]
+    assert same(attribute_contributions(once, three, "id", **w), attribute_contributions(df, three, "id"))
+    with pytest.raises(ValueError):
+        collapse_table(once, ["group_rows"])
