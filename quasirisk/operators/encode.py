@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quasirisk.operators.infogain import cells_by_column, regrouped_keys
 from quasirisk.plans.keys import col, collapse, key_names, keyed, require_columns
-from quasirisk.plans.lookup import skew_safe_lookup
-from quasirisk.plans.materialize import materialize
+from quasirisk.plans.lookup import is_small, skew_safe_lookup
+from quasirisk.plans.materialize import materialize, materialize_measured
 
 
 def string_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -56,37 +56,42 @@ def encoded_tuples(df: DataFrame, base: DataFrame, qi: Sequence[str]) -> DataFra
     m = len(qi)
     keys = key_names(m)
     text = string_columns(df, qi)
-    numeric = [
-        F.lit(None).cast("double") if c in text else F.col(k).cast("double") for c, k in zip(qi, keys)
-    ]
-    if not text:
-        return base.select(*keys, "n", *[e.alias(f"e{i}") for i, e in enumerate(numeric)])
     positions = {c: i for i, c in enumerate(qi)}
-    codes = category_codes(df, qi)
+
+    def encoded(i: int) -> Column:
+        found = F.coalesce(F.col(f"code{i}"), F.lit(-1)) if qi[i] in text else F.col(keys[i])
+        return found.cast("double").alias(f"e{i}")
+
+    if not text:
+        return base.select(*keys, "n", *[encoded(i) for i in range(m)])
+    codes = materialize_measured(category_codes(df, qi))
+    if is_small(codes):
+        found = base
+        for c in text:
+            i = positions[c]
+            mine = codes.table.where(F.col("variable") == c).select(F.col("value").alias("v"), F.col("code").alias(f"code{i}"))
+            found = found.join(F.broadcast(mine), F.col(keys[i]) == F.col("v"), "left").drop("v")
+        return found.select(*keys, "n", *[encoded(i) for i in range(m)])
+    # A dictionary too large to broadcast: look all columns up together, then regroup.
     own_value = F.coalesce(*[F.when(F.col("own.c") == positions[c], F.col(f"own.k{positions[c]}")) for c in text])
     c_of = F.element_at(F.create_map(*[x for c in text for x in (F.lit(c), F.lit(positions[c]))]), F.col("variable"))
-    found_rows = (
+    cells = (
         cells_by_column(base, m)
         .where(F.col("own.c").isin([positions[c] for c in text]))
         .withColumn("value", own_value)
         .where(F.col("value").isNotNull())
         .withColumn("entry", F.struct(F.col("own.c").alias("c"), "value"))
     )
-    weights = found_rows.groupBy("entry").agg(F.count(F.lit(1)).alias("cells"))
-    dictionary = codes.select(F.struct(c_of.alias("c"), "value").alias("entry"), "code").join(weights, "entry")
-    total = weights.agg(F.sum("cells")).scalar()
-    found = skew_safe_lookup(found_rows, dictionary, "entry", "cells", total)
+    weights = cells.groupBy("entry").agg(F.count(F.lit(1)).alias("cells"))
+    dictionary = codes.table.select(F.struct(c_of.alias("c"), "value").alias("entry"), "code").join(weights, "entry")
+    found = skew_safe_lookup(cells, dictionary, "entry", "cells", weights.agg(F.sum("cells")).scalar())
     per_key = (
         found.select(F.struct(*regrouped_keys(m)).alias("key"), F.col("own.c").alias("c"), "code")
         .groupBy("key")
         .agg(*[F.max(F.when(F.col("c") == positions[c], F.col("code"))).alias(f"code{positions[c]}") for c in text])
     )
     joined = base.withColumn("key", F.struct(*keys)).join(per_key, "key", "left")
-    encoded = [
-        F.coalesce(F.col(f"code{i}"), F.lit(-1)).cast("double") if c in text else numeric[i]
-        for c, i in positions.items()
-    ]
-    return joined.select(*keys, "n", *[e.alias(f"e{i}") for i, e in enumerate(encoded)])
+    return joined.select(*keys, "n", *[encoded(i) for i in range(m)])
 
 
 def encoded_rows(df: DataFrame, base: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:

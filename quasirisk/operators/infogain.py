@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quasirisk.functions.levels import safe_level
+from quasirisk.functions.rounding import python_round
 from quasirisk.operators.risk import WEIGHT
 from quasirisk.plans.keys import col, collapse, key_names, keyed, require_columns
 from quasirisk.plans.lookup import is_small, skew_safe_lookup
@@ -195,10 +196,10 @@ def gain_totals(gains: DataFrame, weight: str | None = WEIGHT) -> DataFrame:
     return long.groupBy("column").agg(F.sum(F.col("cig") * F.col("_w")).alias("total"))
 
 
-def gain_summary(gains: DataFrame, weight: str | None = WEIGHT) -> DataFrame:
+def gain_summary(gains: DataFrame, weight: str | None = WEIGHT, digits: int | None = None) -> DataFrame:
     """Per column: mean, std, min, p25, p50, p75, max and is_top (highest mean).
 
-    Raw values; round to two decimals for display.
+    With digits (2 for display) the figures are rounded; is_top goes by the unrounded mean.
     """
     n = col(weight) if weight else F.lit(1)
     long = gain_long(gains.withColumn("_w", n.cast("double")), ["_w"])
@@ -221,4 +222,8 @@ def gain_summary(gains: DataFrame, weight: str | None = WEIGHT) -> DataFrame:
     )
     # One row per column of the table: a bounded set to take the maximum over.
     top = table.agg(F.max("mean")).scalar()
-    return table.withColumn("is_top", F.col("mean") == top)
+    table = table.withColumn("is_top", F.col("mean") == top)
+    if digits is None:
+        return table
+    figures = [c for c in table.columns if c not in ("column", "is_top")]
+    return table.select(*[python_round(F.col(c), digits).alias(c) if c in figures else c for c in table.columns])

@@ -74,6 +74,8 @@ def test_summary_and_matrix(spark):
     assert [x[c] for c in ("mean", "min", "p25", "p50", "p75", "max")] == [2.0, 0.0, 1.0, 2.0, 3.0, 4.0]
     assert x["std"] == pytest.approx(1.5811388300841898)
     assert (x["is_top"], got["y"]["is_top"]) == (False, True)
+    shown = {r["column"]: r for r in gain_summary(gains, weight=None, digits=2).collect()}
+    assert (shown["x"]["std"], shown["x"]["mean"], shown["y"]["is_top"]) == (1.58, 2.0, True)
     assert gain_matrix(gains, "id").columns == ["id", "x", "y"]
     assert gain_long(gains, ["id"]).count() == 10
 

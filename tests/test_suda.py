@@ -5,6 +5,7 @@ from hypothesis import given
 from pyspark.sql import functions as F
 
 import quasirisk.operators.suda as suda
+import quasirisk.plans.lookup as lookup
 from quasirisk import (
     attribute_contributions,
     attribute_level_contributions,
@@ -114,6 +115,18 @@ def test_encoding(spark, five_rows):
     assert {r["id"]: r["n"] for r in numbers} == {0: 5.0, 1: 6.0, 2: None}
 
 
+def test_encoding_without_broadcast(spark, monkeypatch):
+    rows = [(i, "hot" if i < 60 else f"v{i % 37:02d}", None if i % 9 == 0 else f"w{i % 5}", i % 4) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, s string, t string, n long")
+    values = [sorted({r[c] for r in rows if r[c] is not None}) for c in (1, 2)]
+    expected = {r[0]: (*[float(v.index(x)) if x is not None else -1.0 for v, x in zip(values, r[1:3])], float(r[3])) for r in rows}
+    for limit, share in ((lookup.BROADCAST_BYTES, lookup.HOT_SHARE), (0, 5)):
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(lookup, "HOT_SHARE", share)
+        got = encode_categories(df, ["s", "t", "n"], "id").collect()
+        assert {r["id"]: (r["s"], r["t"], r["n"]) for r in got} == expected
+
+
 def test_record_table(five_rows):
     got = {r["id"]: r for r in suda_record_table(five_rows, QI, "id").collect()}
     assert (got[2]["salary"], got[2]["city"], got[2]["department"], got[2]["score"]) == (70000.0, 1.0, 2.0, 4.0)
