@@ -59,7 +59,7 @@ def special_uniques(
     base: DataFrame | None = None,
     weight: str | None = None,
 ) -> Measured:
-    """Records with at least one MSU: rid, k0.., ``msus`` (bitmasks, smallest first).
+    """Records with at least one MSU: rid and ``msus`` (bitmasks, smallest first).
 
     A cell equal to missing_value (or NULL, with missing_nulls) takes part in no MSU;
     by default NULL is a value like any other.  ``base`` is the materialised collapsed
@@ -81,10 +81,7 @@ def special_uniques(
 
     if len(subset_masks(m, 1, top)) <= ONE_PASS_SUBSETS:
         found = uniques(subset_cells(base, m, subset_masks(m, 1, top), blocked, with_id=True))
-        # Only records alone in their full combination can be unique on a subset.
-        singles = base.where(F.col("n") == 1).select("rid", *keys)
-        minimal = _minimal(F.col("found")).alias("msus")
-        return materialize_measured(singles.join(found, "rid").select("rid", *keys, minimal))
+        return materialize_measured(found.select("rid", _minimal(F.col("found")).alias("msus")))
 
     # A record unique on T is alone in its cell for every superset of T, so leaving it
     # out there changes no other cell: each level counts only what is still open.
@@ -97,7 +94,7 @@ def special_uniques(
         found = uniques(cells(state.withColumn("mask", F.explode(open_masks)), m, with_id=True))
         grown = F.concat("msus", F.coalesce(F.array_sort("found"), F.array().cast("array<int>")))
         state = materialize(state.join(found, "rid", "left").withColumn("msus", grown).drop("found"))
-    return materialize_measured(state.where(F.size("msus") > 0).select("rid", *keys, "msus"))
+    return materialize_measured(state.where(F.size("msus") > 0).select("rid", "msus"))
 
 
 def msu_weights(m: int, max_size: int | None = None) -> list[float]:
@@ -231,7 +228,10 @@ def attribute_level_contributions(
     of string columns (NULL value: -1) and the number itself for others.
     """
     qi = require_columns(df, qi)
-    found = _weighted(special_uniques(df, qi, row_id, max_size=max_size, **options).table, len(qi), max_size)
+    require_columns(df, [row_id])
+    base = materialize(collapse(df, qi, row_id, options.get("weight")))
+    uniques = special_uniques(df, qi, row_id, max_size=max_size, base=base, **options)
+    found = _weighted(uniques.table, len(qi), max_size).join(base.drop("n"), "rid")
     text = string_columns(df, qi)
     number = lambda i: F.lit(None).cast("double") if qi[i] in text else F.col(f"k{i}").cast("double")
     levels = (
