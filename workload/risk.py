@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quasirisk import (
+    collapse_table,
     column_influence,
     combination_contribution,
     k_anonymity,
@@ -89,6 +90,17 @@ QUERIES = {
         ),
         _summary_sql("SELECT * FROM lineitem", LINE_QI, "l_linenumber", 6),
     ),
+    "collapse_table": Registered(
+        lambda spark, sf: collapse_table(labelled_documents(spark, sf), DOC_QI, "doc_id"),
+        f"""SELECT lang, source, quality, toxic, count(*) AS group_rows, min(doc_id) AS doc_id FROM ({DOC_SQL})
+GROUP BY lang, source, quality, toxic""",
+    ),
+    "risk_summary_collapsed": Registered(
+        lambda spark, sf: risk_summary(
+            collapse_table(customers(spark, sf), [*CUSTOMER_QI, "balance_sign"]), CUSTOMER_QI, "balance_sign", "group_rows"
+        ),
+        _summary_sql(CUSTOMER_SQL, CUSTOMER_QI, "balance_sign", 5),
+    ),
     "unique_rows": Registered(
         lambda spark, sf: unique_rows(lines(spark, sf), LINE_QI),
         f"WITH t AS ({LINE_SQL}) SELECT {uniques_sql(LINE_QI, range(5), False)} AS num_unique_rows",

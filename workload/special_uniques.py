@@ -139,6 +139,10 @@ SELECT id AS p_partkey, {_msu_names(PART_QI)} AS msu, CAST(size AS INTEGER) AS s
         lambda spark, sf: suda_scores(parts(spark, sf), PART_QI, "p_partkey", 0.2),
         _scores_sql(PART_MSU, PART_QI, "p_partkey", 0.2),
     ),
+    "suda_scores_capped": Registered(
+        lambda spark, sf: suda_scores(orders(spark, sf), ORDER_QI, "o_orderkey", 0.2, max_size=3),
+        _scores_sql(msu_sql(ORDER_SQL, "o_orderkey", ORDER_QI, 3), ORDER_QI, "o_orderkey", 0.2),
+    ),
     "suda_scores_nulls": Registered(
         lambda spark, sf: suda_scores(labelled_documents(spark, sf), DOC_QI, "doc_id", 0.3),
         _scores_sql(DOC_MSU, DOC_QI, "doc_id", 0.3),
