@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quasirisk.operators.infogain import cells_by_column, regrouped_keys
 from quasirisk.plans.keys import col, collapse, key_names, keyed, require_columns
-from quasirisk.plans.lookup import is_small, skew_safe_lookup
+from quasirisk.plans.lookup import is_small, join_struct_key, skew_safe_lookup
 from quasirisk.plans.materialize import materialize, materialize_measured
 
 
@@ -90,7 +90,7 @@ def encoded_tuples(df: DataFrame, base: DataFrame, qi: Sequence[str]) -> DataFra
         .groupBy("key")
         .agg(*[F.max(F.when(F.col("c") == positions[c], F.col("code"))).alias(f"code{positions[c]}") for c in text])
     )
-    joined = base.withColumn("key", F.struct(*keys)).join(per_key, "key", "left")
+    joined = join_struct_key(base.withColumn("key", F.struct(*keys)), per_key, "key", "left")
     return joined.select(*keys, "n", *[encoded(i) for i in range(m)])
 
 

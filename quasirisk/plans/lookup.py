@@ -24,6 +24,15 @@ def is_small(right: Measured) -> bool:
     return right.bytes <= BROADCAST_BYTES
 
 
+def join_struct_key(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Shuffle join on a struct column.
+
+    Sorting goes by a hash of it, a plain long; the struct only has to settle ties.
+    """
+    hashed = lambda side: side.withColumn("_hash", F.xxhash64(on))
+    return hashed(left).join(hashed(right), ["_hash", on], how).drop("_hash")
+
+
 def skew_safe_lookup(
     left: DataFrame, right: DataFrame | Measured, on: str, rows_per_key: str, total_rows: Column
 ) -> DataFrame:
@@ -40,7 +49,7 @@ def skew_safe_lookup(
     hot = F.broadcast(known.table.where(is_hot).drop(rows_per_key))
     cold = known.table.where(~is_hot).drop(rows_per_key)
     light = left.join(hot.select(on), on, "left_anti")
-    return left.join(hot, on).unionByName(light.join(cold, on))
+    return left.join(hot, on).unionByName(join_struct_key(light, cold, on))
 
 
 def attach_unique(left: DataFrame, right: Measured, on: str) -> DataFrame:

@@ -55,6 +55,17 @@ def test_heavy_keys_take_both_ways(spark, monkeypatch):
     assert split == pytest.approx(plain_result)
 
 
+def test_signed_zero_and_null_keys_without_broadcast(spark, monkeypatch):
+    rows = [(0, 0.0, None), (1, -0.0, None), (2, 0.0, "x"), (3, None, "x"), (4, float("nan"), "x"), (5, 1.0, "y")]
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lookup, "HOT_SHARE", 1)
+    df = spark.createDataFrame(rows, "id long, a double, b string")
+    plain_rows = [{"a": None if a != a else a, "b": b} for _, a, b in rows]
+    want = [sum(g.values()) for g in cell_gains(plain_rows, ["a", "b"])]
+    got = {r["id"]: r["RIG"] for r in cell_information_gain(df, ["a", "b"], "id").collect()}
+    assert [got.get(i) for i in range(6)] == pytest.approx(want, abs=1e-9)
+
+
 def test_masks(spark):
     df = spark.createDataFrame([(0, None, "x"), (1, 1, "-999"), (2, 2, None), (3, -999, "y")], "id long, a long, b string")
     nulls = {r["id"]: r for r in cell_information_gain(df, ["a", "b"], "id", mask_nulls=True).collect()}
