@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quasirisk.llm import chat
 from quasirisk.llm.packing import pack_documents
+from quasirisk.llm.quality_rules import quality_verdicts
 from quasirisk.llm.secrets import scan_secrets
 
 PACK_TOKENIZER = "word_bpe_49k.json"
@@ -21,13 +23,60 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``conversations`` is the event that starts the message of its turn."""
+    mark = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", mark), (-7, 1, "assistant", mark)], "conv_id long, turn long, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    # Rows with equal turns stay turns of their own.
+    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    events = rows.withColumn("message", F.struct("turn", F.row_number().over(same).alias("copy")))
+    events = events.withColumns({"seq": F.lit(0), "kind": F.lit("message")})
+    chats = chat.format_chats(events)
+    turns = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    chats = chats.withColumns({
+        "turns_": turns, "loss_": chat.read_loss(F.col("formatted"), F.col("loss_spans")),
+    })
+    return chats.select(
+        "conv_id", F.size("turns_").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("turns_", "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_").cast("long").alias("loss_chars"), F.sha2(F.col("loss_").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(SCAN_RANKS))
 
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_quality_rules": op3_quality_rules,
+    "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP8_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), turns AS (
+  SELECT conv_id, turn, role, text, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learnt,
+         length(role) + length(text) + length('<|turn|><|body|><|end|>')
+         + length(role || text) - length(replace(role || text, '<', '')) AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(length(learnt)) AS BIGINT) AS loss_chars,
+       sha256(string_agg(learnt, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL}
