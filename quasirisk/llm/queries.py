@@ -10,6 +10,7 @@ from quasirisk.llm import chat
 from quasirisk.llm.packing import pack_documents
 from quasirisk.llm.quality_rules import quality_verdicts
 from quasirisk.llm.secrets import scan_secrets
+from quasirisk.llm.simhash import near_duplicates
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 SCAN_RANKS = "byte_bpe_50k.tiktoken"
@@ -27,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``conversations`` is the event that starts the message of its turn."""
     mark = "</s>[INST] ok [/INST]"
@@ -58,6 +63,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op5_simhash": op5_simhash,
     "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,
 }

@@ -49,7 +49,7 @@ class Store:
 
 
 def map_batches(
-    df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | list]]
+    df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | list]]
 ) -> DataFrame:
     """``mapInArrow`` whose function is made once per task, for state such as caches."""
 
