@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quasirisk.llm.store import Store, map_batches
-from quasirisk.llm.text import columns
+from quasirisk.llm.text import columns, make_hasher
 
 #: Bytes of text that are worked on at once, and of items in one index.
 SLAB, BLOCK = 1 << 20, 8 << 20
@@ -28,6 +28,8 @@ CLASSES = (1, 2, 4, 8, 16, 32)
 SAMPLES = 6
 STRIDE = 4
 MAX_REPEATS = 12
+#: Bytes of words: ASCII letters and digits, and all of other characters.
+PLAIN = (*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256))
 
 
 def _numpy():
@@ -36,42 +38,6 @@ def _numpy():
     return np
 
 
-def make_hasher():
-    """Function from UTF-8 bytes to the hashes and start offsets of their words, in lower case.
-
-    A word is a run of ASCII letters, digits and non-ASCII bytes.  Hashes are differences of
-    polynomial prefix sums, so no word becomes a Python object.
-    """
-    np = _numpy()
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    inside = np.zeros(256, bool)
-    inside[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-    powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-    def table(which: str, factor: int, n: int):
-        if len(powers[which]) < n:
-            steps = np.full(n, factor, np.uint64)
-            steps[0] = 1
-            powers[which] = np.cumprod(steps)
-        return powers[which]
-
-    def hashes(raw: bytes):
-        data = np.frombuffer(raw, np.uint8)
-        n = len(data)
-        edge = np.diff(inside[data].astype(np.int8), prepend=0, append=0)
-        starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(data * table("up", base, n + 1)[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * table("down", inverse, n + 1)[starts]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        return h, starts
-
-    return hashes
-
-
 class Index:
     """Keys of item windows by class and repetition."""
 
@@ -197,7 +163,7 @@ def slabs(texts: Sequence[str | None], overlap: int):
 def make_finder(index: Index, max_edits: float, overlap: int):
     """Function from texts to (row, item, edits), the fewest edits for each row and item."""
     np = _numpy()
-    hashes = make_hasher()
+    hashes = make_hasher(PLAIN)
     lists = [w.tolist() for w in index.items]
 
     def leaks(texts):
@@ -233,7 +199,7 @@ def build_index(texts: Sequence[str], max_edits: float, recall: float) -> Index
     repetitions are those after which the wanted share of the copies is found.
     """
     np = _numpy()
-    hashes = make_hasher()
+    hashes = make_hasher(PLAIN)
     items = [hashes(t.lower().encode("utf-8", "replace"))[0] for t in texts]
     if not items:
         return None

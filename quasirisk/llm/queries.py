@@ -12,6 +12,7 @@ from quasirisk.llm.packing import pack_documents
 from quasirisk.llm.quality_rules import quality_verdicts
 from quasirisk.llm.secrets import scan_secrets
 from quasirisk.llm.simhash import near_duplicates
+from quasirisk.llm.substring import remove_repeats
 
 PACK_TOKENIZER = "word_bpe_49k.json"
 SCAN_RANKS = "byte_bpe_50k.tiktoken"
@@ -37,6 +38,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), width=50)
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of ``conversations`` is the event that starts the message of its turn."""
     mark = "</s>[INST] ok [/INST]"
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
+    "op7_substring": op7_substring,
     "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,
 }

@@ -46,3 +46,44 @@ def crc32(raw: bytes) -> int:
 
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+#: Bytes of words: all but white space.
+SOLID = tuple(b for b in range(256) if b != 32 and not 9 <= b <= 13)
+
+
+def make_hasher(of_words: Iterable[int]):
+    """Function from UTF-8 bytes to the 64-bit hashes and start offsets of their words.
+
+    A word is a run of the bytes ``of_words``.  Hashes are differences of polynomial prefix
+    sums, so no word becomes a Python object.
+    """
+    import numpy as np
+
+    base = 0x9E3779B97F4A7C15
+    inverse = pow(base, -1, 1 << 64)
+    inside = np.zeros(256, bool)
+    inside[list(of_words)] = True
+    powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+    def table(which: str, factor: int, n: int):
+        if len(powers[which]) < n:
+            steps = np.full(n, factor, np.uint64)
+            steps[0] = 1
+            powers[which] = np.cumprod(steps)
+        return powers[which]
+
+    def hashes(raw: bytes):
+        data = np.frombuffer(raw, np.uint8)
+        n = len(data)
+        edge = np.diff(inside[data].astype(np.int8), prepend=0, append=0)
+        starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(data * table("up", base, n + 1)[:n], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * table("down", inverse, n + 1)[starts]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        return h, starts
+
+    return hashes
