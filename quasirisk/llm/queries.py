@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quasirisk.llm import chat
+from quasirisk.llm.classifier import quality_scores
 from quasirisk.llm.decontaminate import find_leaks
 from quasirisk.llm.packing import pack_documents
+from quasirisk.llm.pii import find_pii
 from quasirisk.llm.quality_rules import quality_verdicts
 from quasirisk.llm.secrets import scan_secrets
 from quasirisk.llm.simhash import near_duplicates
@@ -34,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -70,14 +76,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path(SCAN_RANKS))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, threshold=0.3)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op7_substring": op7_substring,
     "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 OP8_SQL = """
