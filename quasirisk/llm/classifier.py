@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quasirisk.llm.store import Store, map_batches
-from quasirisk.llm.text import SOLID, columns, fold, make_hasher
+from quasirisk.llm.store import Store, map_batches, summed_parts
+from quasirisk.llm.text import SOLID, columns, fold, make_hasher, slabs
 
 #: Rows for words and for shapes, dimensions, and neighbours to either side.
 WORD_ROWS, SHAPE_ROWS, DIMS, REACH = 6144, 2048, 48, 2
@@ -38,12 +38,9 @@ def make_rows():
     def rows(texts: Sequence[str | None]):
         raws = [(t or "").encode("utf-8", "replace") for t in texts]
         raw = b"\n".join(raws)
-        words, starts = hashes(raw.lower())
+        words, starts, ends = hashes(raw.lower())
         data = np.frombuffer(raw, np.uint8)
-        solid = np.ones(len(data) + 1, bool)
-        solid[:-1] = (data == 32) | ((data >= 9) & (data <= 13))
-        ends = np.nonzero(solid[1:] & ~solid[:-1])[0] if len(data) else np.zeros(0, np.int64)
-        shape = (kind[data[starts]] * 4 + kind[data[np.maximum(ends - 1, starts)]]) * 256 + data[ends]
+        shape = (kind[data[starts]] * 4 + kind[data[ends - 1]]) * 256 + data[ends - 1]
         shape = shape * 4 + np.minimum(3, (ends - starts) // 4)
         shapes = (shape.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(53)).astype(np.int64)
         bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
@@ -52,18 +49,6 @@ def make_rows():
     return rows
 
 
-def slabs(texts: Sequence[str | None]):
-    """Index ranges of texts of about SLAB characters together."""
-    begin, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text or "") > SLAB:
-            yield begin, i
-            begin, held = i, 0
-        held += len(text or "")
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def word_vectors(docs: DataFrame, seed: int = 3):
     """Unit word vectors over all texts, as an array of fixed size.
 
@@ -82,7 +67,7 @@ def word_vectors(docs: DataFrame, seed: int = 3):
         vectors = np.zeros(total * DIMS)
         for batch in batches:
             texts = columns(batch, "text")[0]
-            for a, b in slabs(texts):
+            for a, b in slabs(texts, SLAB):
                 words, shapes, bounds = rows(texts[a:b])
                 doc = np.repeat(np.arange(b - a), np.diff(bounds))
                 for ids in (words, shapes):
@@ -95,21 +80,10 @@ def word_vectors(docs: DataFrame, seed: int = 3):
         values = pa.ListArray.from_arrays(np.arange(0, parts.size + 1, PART * DIMS, dtype=np.int32), pa.array(parts.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), values], names=["part", "values"])
 
-    def add_up(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held[part] = held.get(part, 0) + values.values.to_numpy().astype(np.float64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int32()), pa.array([v.astype(np.float32) for v in held.values()], pa.list_(pa.float32()))],
-            names=["part", "values"],
-        )
-
-    schema = "part int, values array<float>"
-    summed = docs.select("text").mapInArrow(sums, schema).repartition("part").mapInArrow(add_up, schema)
     vectors = np.zeros((total // PART, PART * DIMS), np.float32)
-    for row in summed.collect():  # of a size fixed by the constants above
-        vectors[row["part"]] = row["values"]
+    # Of a size fixed by the constants above.
+    for part, values in summed_parts(docs.select("text").mapInArrow(sums, "part int, values array<float>")).items():
+        vectors[part] = values
     vectors = vectors.reshape(total, DIMS)
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
 
@@ -122,7 +96,7 @@ def make_pool(vectors):
 
     def pool(texts):
         out = np.zeros((len(texts), 4 * DIMS + 1), np.float32)
-        for a, b in slabs(texts):
+        for a, b in slabs(texts, SLAB):
             words, shapes, bounds = rows(texts[a:b])
             sizes = np.diff(bounds)
             full = np.nonzero(sizes)[0]

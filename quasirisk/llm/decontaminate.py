@@ -169,7 +169,7 @@ def make_finder(index: Index, max_edits: float, overlap: int):
     def leaks(texts):
         found: dict[tuple[int, int], int] = {}
         for group in slabs(texts, overlap):
-            words, starts = hashes(b"\n".join(part for _, part in group))
+            words, starts, _ = hashes(b"\n".join(part for _, part in group))
             if not len(words):
                 continue
             bounds = np.cumsum([0, *(len(part) + 1 for _, part in group)])

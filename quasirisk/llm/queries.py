@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quasirisk.llm import chat
 from quasirisk.llm.classifier import quality_scores
 from quasirisk.llm.decontaminate import find_leaks
+from quasirisk.llm.hmm import score_texts
 from quasirisk.llm.packing import pack_documents
 from quasirisk.llm.pii import find_pii
 from quasirisk.llm.quality_rules import quality_verdicts
@@ -44,6 +45,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), width=50)
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
+    "op6_language_model": op6_language_model,
     "op7_substring": op7_substring,
     "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,

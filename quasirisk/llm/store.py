@@ -60,3 +60,23 @@ def map_batches(
                 yield from each(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def summed_parts(partials: DataFrame) -> dict:
+    """Sums by part of rows (part int, values array<float or double>), as arrays by part.
+
+    For statistics of a fixed size: each task sends one row per part, parts are added up in
+    parallel, and the driver receives one array per part.
+    """
+    import numpy as np
+
+    def add_up(batches):
+        held: dict = {}
+        for batch in batches:
+            for part, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held[part] = held.get(part, 0) + values.values.to_numpy().astype(np.float64)
+        kind = pa.list_(pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), kind)], names=["part", "values"])
+
+    added = partials.repartition("part").mapInArrow(add_up, "part int, values array<double>")
+    return {row["part"]: np.array(row["values"]) for row in added.collect()}

@@ -160,7 +160,7 @@ def make_scanner(width: int):
 
     def of_slab(parts):
         raw = b"\n".join(parts)
-        words, starts = hashes(raw)
+        words, starts, _ = hashes(raw)
         first = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)]))
         out: list[tuple] = [((), (), ())] * len(parts)
         if len(words) < width:
@@ -211,7 +211,7 @@ def make_matcher(width: int):
 
     def match(pieces: list[str], first_docs: list[int]) -> list:
         raws = [p.encode() for p in pieces]
-        words, starts = hashes(b"\n".join(raws))
+        words, starts, _ = hashes(b"\n".join(raws))
         cuts = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
         ids = np.unique(words, return_inverse=True)[1] + 1
         index = FMIndex(np.split(ids, cuts[:-1]), width)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -53,7 +53,7 @@ SOLID = tuple(b for b in range(256) if b != 32 and not 9 <= b <= 13)
 
 
 def make_hasher(of_words: Iterable[int]):
-    """Function from UTF-8 bytes to the 64-bit hashes and start offsets of their words.
+    """Function from UTF-8 bytes to the 64-bit hashes, starts and ends of their words.
 
     A word is a run of the bytes ``of_words``.  Hashes are differences of polynomial prefix
     sums, so no word becomes a Python object.
@@ -84,6 +84,18 @@ def make_hasher(of_words: Iterable[int]):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        return h, starts
+        return h, starts, ends
 
     return hashes
+
+
+def slabs(texts: Sequence[str | None], size: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of neighbouring texts of about ``size`` characters together."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text or "") > size:
+            yield begin, i
+            begin, held = i, 0
+        held += len(text or "")
+    if begin < len(texts):
+        yield begin, len(texts)
