@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 _SPLITTER = 134217729.0  # 2**27 + 1, splits a double into two exact halves
 
 
+_LONG_RANGE = 9.0e18  # what a long holds, with room for rounding
+
+
+def _representable(value: Column) -> Column:
+    """NULL for NaN, infinities and values beyond a long."""
+    return F.when(F.abs(value.cast("double")) < _LONG_RANGE, value)
+
+
 def round_up(value: Column, precision: int) -> Column:
-    """Smallest multiple of 10**precision that is not below the value."""
+    """Smallest multiple of 10**precision that is not below the value; NULL for NaN."""
+    value = _representable(value)
     factor = F.lit(10**precision) if precision >= 0 else F.lit(float(10.0**precision))
     return F.ceil(value / factor) * factor
 
 
 def round_nearest(value: Column, precision: int) -> Column:
-    """Nearest multiple of 10**precision, halves to the even multiple."""
+    """Nearest multiple of 10**precision, halves to the even multiple; NULL for NaN."""
     factor = F.lit(float(10**precision))
+    value = F.when(~F.isnan(value.cast("double")), value)
     return F.rint(value / factor) * factor
 
 
 def truncate(value: Column) -> Column:
-    """Drop the decimals, toward zero; the result is a long."""
-    return value.cast("long")
+    """Drop the decimals, toward zero; the result is a long, NULL for NaN."""
+    return _representable(value).cast("long")
 
 
 def python_round(value: Column, digits: int) -> Column:

@@ -147,8 +147,9 @@ def make_scanner(width: int):
     import numpy as np
 
     hashes = make_hasher(SOLID)
-    powers = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(SHINGLE)], np.uint64)
-    span = width - SHINGLE + 1
+    shingle = min(SHINGLE, width)
+    powers = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(shingle)], np.uint64)
+    span = width - shingle + 1
 
     def smallest(values, size):
         """Minimum of each ``size`` neighbours, by doubling."""
@@ -165,8 +166,8 @@ def make_scanner(width: int):
         out: list[tuple] = [((), (), ())] * len(parts)
         if len(words) < width:
             return out
-        n = len(words) - SHINGLE + 1
-        shingles = sum(words[i : i + n] * powers[i] for i in range(SHINGLE))
+        n = len(words) - shingle + 1
+        shingles = sum(words[i : i + n] * powers[i] for i in range(shingle))
         shingles ^= shingles >> np.uint64(32)
         shingles *= np.uint64(0x9FB21C651E98DF25)
         shingles ^= shingles >> np.uint64(28)

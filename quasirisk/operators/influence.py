@@ -8,12 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quasirisk.functions.rounding import python_round
-from quasirisk.plans.keys import collapse, require_columns, require_mask_width
-from quasirisk.plans.lattice import stat, subset_masks, subset_name, subset_statistics
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+from quasirisk.plans.keys import collapse, key_names, require_columns, require_mask_width
+from quasirisk.plans.lattice import subset_masks, subset_name, subset_statistics
+from quasirisk.plans.materialize import materialize
 
 
 def column_influence(df: DataFrame, qi: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -21,30 +18,32 @@ def column_influence(df: DataFrame, qi: Sequence[str], weight: str | None = None
 
     Columns: column, unique_count_after_removal, difference, distinct_values, ratio,
     normalized_difference (ratio to one decimal).  NULL is a value.  No rows for a single
-    QI.  The full set, the leave-one-out sets and the single columns are counted together.
+    QI.  The full set, the leave-one-out sets and the single columns are counted together,
+    told apart by a number ``s``, so any number of columns will do: 0 is the full set,
+    1..m leave out one column each, m+1..2m are the single columns.
     """
     qi = require_columns(df, qi)
-    m = require_mask_width(qi)
-    full = (1 << m) - 1
-    masks = sorted({full} | {full ^ (1 << i) for i in range(m)} | {1 << i for i in range(m)} - {0})
-    masks = [s for s in masks if s]
-    stats = subset_statistics(collapse(df, qi, weight=weight), m, masks, drop_nulls=False)
-    rows = ", ".join(
-        f"named_struct('position', {i}, 'column', {_quoted(c)}, 'rest', {full ^ (1 << i)}, 'own', {1 << i})"
-        for i, c in enumerate(qi)
-        if m > 1
+    m = len(qi)
+    base = collapse(df, qi, weight=weight).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2 * m))))
+    kept = [f"IF(s = 0 OR s = {m + 1 + i} OR (s <= {m} AND s <> {1 + i}), {k}, NULL) AS {k}" for i, k in enumerate(key_names(m))]
+    cells = base.selectExpr("s", *kept, "n").groupBy("s", *key_names(m)).agg(F.sum("n").alias("n"))
+    filled = F.expr(" OR ".join(f"{k} IS NOT NULL" for k in key_names(m)))
+    stats = cells.groupBy("s").agg(F.count_if(F.col("n") == 1).alias("uniques"), F.count_if(filled).alias("values"))
+    # 2m + 1 rows: per column its leave-one-out row and its own row, and the full set.
+    number = F.when(F.col("s") > m, F.col("s") - m).otherwise(F.col("s"))
+    pairs = stats.withColumn("number", number).groupBy("number").agg(
+        F.max(F.when(F.col("s") <= m, F.col("uniques"))).alias("rest"), F.max(F.when(F.col("s") > m, F.col("values"))).alias("own")
     )
-    if not rows:
-        rows = "named_struct('position', -1, 'column', '', 'rest', 0, 'own', 0)"
-    out = (
-        stats.withColumn("q", F.explode(F.expr(f"array({rows})")))
-        .where("q.position >= 0")
-        .select(
-            F.col("q.column").alias("column"),
-            stat(F.col("q.rest"), "uniques").alias("unique_count_after_removal"),
-            (stat(F.lit(full), "uniques") - stat(F.col("q.rest"), "uniques")).alias("difference"),
-            stat(F.col("q.own"), "values").alias("distinct_values"),
-        )
+    all_of = F.map_from_entries(F.collect_list(F.struct("number", F.struct("rest", "own"))))
+    names = F.array(*[F.lit(c) for c in qi])
+    zero = F.lit(0).cast("long")
+    found = pairs.agg(all_of.alias("stats")).select("stats", F.posexplode(names).alias("position", "column"))
+    mine = F.try_element_at("stats", F.col("position") + 1)
+    out = found.where(F.lit(m > 1)).select(
+        "column",
+        F.coalesce(mine["rest"], zero).alias("unique_count_after_removal"),
+        (F.coalesce(F.try_element_at("stats", F.lit(0))["rest"], zero) - F.coalesce(mine["rest"], zero)).alias("difference"),
+        F.coalesce(mine["own"], zero).alias("distinct_values"),
     )
     ratio = F.try_divide(F.col("difference").cast("double"), F.col("distinct_values").cast("double"))
     return out.withColumn("ratio", ratio).withColumn("normalized_difference", python_round(F.col("ratio"), 1))
@@ -68,18 +67,16 @@ def combination_contribution(
     if not wanted:
         raise ValueError("min_size exceeds the number of columns.")
     masks = sorted(({full} | set(wanted) | {full ^ s for s in wanted}) - {0})
-    stats = subset_statistics(collapse(df, qi, weight=weight), m, masks, drop_nulls=True)
-    rows = ", ".join(
-        f"named_struct('combination', {_quoted(subset_name(s, qi))}, 'size', {s.bit_count()}, "
-        f"'mask', {s}, 'rest', {full ^ s})"
-        for s in wanted
-    )
-    out = stats.withColumn("q", F.explode(F.expr(f"array({rows})"))).select(
-        F.col("q.combination").alias("combination"),
-        F.col("q.size").alias("size"),
-        stat(F.col("q.mask"), "uniques").alias("unique_rows"),
-        stat(F.col("q.rest"), "uniques").alias("unique_rows_excluding"),
-        stat(F.lit(full), "uniques").alias("_all"),
+    # One row per subset, whatever the size of the data; a subset without rows has none.
+    stats = materialize(subset_statistics(collapse(df, qi, weight=weight), m, masks, drop_nulls=True))
+    subsets = df.sparkSession.createDataFrame(
+        [(subset_name(s, qi), s.bit_count(), s, full ^ s) for s in wanted], "combination string, size int, mask long, rest long"
     )
-    gain = (F.col("_all") - F.col("unique_rows_excluding")).cast("double")
-    return out.withColumn("score", F.try_divide(gain, F.col("unique_rows").cast("double"))).drop("_all")
+    uniques = lambda name: stats.select(F.col("mask").alias(name), F.col("uniques").alias(f"of_{name}"))
+    zero = F.lit(0).cast("long")
+    out = subsets.join(uniques("mask"), "mask", "left").join(uniques("rest"), "rest", "left").select(
+        "combination", "size", F.coalesce("of_mask", zero).alias("unique_rows"), F.coalesce("of_rest", zero).alias("unique_rows_excluding")
+    )
+    everything = F.coalesce(stats.where(F.col("mask") == full).agg(F.max("uniques")).scalar(), zero)
+    gain = (everything - F.col("unique_rows_excluding")).cast("double")
+    return out.withColumn("score", F.try_divide(gain, F.col("unique_rows").cast("double")))

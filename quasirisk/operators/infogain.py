@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from quasirisk.functions.levels import safe_level
 from quasirisk.functions.rounding import python_round
 from quasirisk.operators.risk import WEIGHT
-from quasirisk.plans.keys import col, collapse, key_names, keyed, require_columns
+from quasirisk.plans.keys import col, collapse, key_names, keyed, may_equal, require_columns
 from quasirisk.plans.lookup import is_small, skew_safe_lookup
 from quasirisk.plans.materialize import materialize, materialize_measured
-from quasirisk.plans.quantile import exact_percentiles
+from quasirisk.plans.quantile import exact_percentiles, percentiles_of_counts, value_counts
 
 PREFIX = "cig_"
 
@@ -59,8 +59,7 @@ def regrouped_keys(m: int) -> list[Column]:
 def _is_masked(dtype: T.DataType, key: Column, mask_nulls: bool, mask_values: Sequence) -> Column:
     hit = key.isNull() if mask_nulls else F.lit(False)
     for v in mask_values:
-        text = isinstance(v, str)
-        if text == isinstance(dtype, T.StringType):
+        if may_equal(dtype, v):
             hit = hit | F.coalesce(key == F.lit(v), F.lit(False))
     return hit
 
@@ -165,7 +164,7 @@ def personal_information_factor(
 ) -> DataFrame:
     """One row: percentile, pif (that percentile of RIG), safe_level."""
     if not 0 <= percentile <= 100:
-        raise ValueError("Percentile must be between 0 and 100.")
+        raise ValueError("Give a percentile from 0 to 100.")
     points = exact_percentiles(gains, "RIG", [percentile / 100], weight)
     return points.select(
         F.lit(percentile).alias("percentile"),
@@ -202,27 +201,30 @@ def gain_summary(gains: DataFrame, weight: str | None = WEIGHT, digits: int | No
     With digits (2 for display) the figures are rounded; is_top goes by the unrounded mean.
     """
     n = col(weight) if weight else F.lit(1)
-    long = gain_long(gains.withColumn("_w", n.cast("double")), ["_w"])
-    w, x = F.col("_w"), F.col("cig")
-    moments = long.groupBy("column").agg(
-        F.sum(w).alias("rows"), F.sum(w * x).alias("s1"), F.sum(w * x * x).alias("s2"),
-        F.min("cig").alias("min"), F.max("cig").alias("max"),
-    )
-    spread = F.greatest(F.col("s2") - F.col("s1") * F.col("s1") / F.col("rows"), F.lit(0.0))
-    quartiles = exact_percentiles(long, "cig", [0.25, 0.5, 0.75], "_w", ["column"])
-    table = moments.join(quartiles, "column").select(
+    # The gains are evaluated once; everything else is about distinct values.
+    counts = value_counts(gain_long(gains.withColumn("_w", n), ["_w"]), "cig", "_w", ["column"])
+    w, x = F.col("n"), F.col("x")
+    # One row per column of the table from here on.  Kept, so that equal means stay equal.
+    means = materialize(counts.table.groupBy("column").agg(
+        F.sum(w).alias("rows"), (F.sum(w * x) / F.sum(w)).alias("mean"), F.min("x").alias("min"), F.max("x").alias("max")
+    ))
+    # Squares of distances to the mean; sums of squares would cancel.
+    away = x - F.col("mean")
+    spread = counts.table.join(F.broadcast(means.select("column", "mean")), "column")
+    spread = spread.groupBy("column").agg(F.sum(w * away * away).alias("spread"))
+    quartiles = percentiles_of_counts(counts, [0.25, 0.5, 0.75], ["column"])
+    top = means.agg(F.max("mean")).scalar()
+    table = means.join(spread, "column").join(quartiles, "column").select(
         "column",
-        (F.col("s1") / F.col("rows")).alias("mean"),
-        F.sqrt(F.try_divide(spread, F.col("rows") - 1)).alias("std"),
+        "mean",
+        F.sqrt(F.try_divide(F.col("spread"), F.col("rows") - 1)).alias("std"),
         "min",
         F.col("p0").alias("p25"),
         F.col("p1").alias("p50"),
         F.col("p2").alias("p75"),
         "max",
+        (F.col("mean") == top).alias("is_top"),
     )
-    # One row per column of the table: a bounded set to take the maximum over.
-    top = table.agg(F.max("mean")).scalar()
-    table = table.withColumn("is_top", F.col("mean") == top)
     if digits is None:
         return table
     figures = [c for c in table.columns if c not in ("column", "is_top")]

@@ -39,8 +39,10 @@ class AddNoise:
     """Add noise to a numeric column, which becomes a double.
 
     kind "laplacian" draws from Laplace(0, scale), any other kind from Normal(0, scale).
-    With a row_id the draws depend on (seed, row id) only; without one, on how the rows
-    happen to be partitioned.
+    With a row_id the draws depend on (seed, column, step of the recipe, row id) only;
+    without one, also on how the rows happen to be partitioned.  Columns and steps get
+    independent draws; recipes applied to the same column one after the other need
+    different seeds.
     """
 
     column: str
@@ -49,11 +51,12 @@ class AddNoise:
     row_id: str | None = None
     scale: float = 1.0
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, step: int = 0) -> DataFrame:
         _require_numeric(df, self.column)
         row = col(self.row_id) if self.row_id else None
         draw = laplace_noise if self.kind == "laplacian" else gaussian_noise
-        return df.withColumn(self.column, col(self.column).cast("double") + draw(self.seed, row, self.scale))
+        noise = draw(self.seed, row, self.scale, f"{step}/{self.column}")
+        return df.withColumn(self.column, col(self.column).cast("double") + noise)
 
 
 @dataclass(frozen=True)
@@ -126,8 +129,8 @@ Step = AddNoise | RoundUp | RoundNearest | RemoveDecimals | CombineSelected | Dr
 
 
 def apply_recipe(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    for step in steps:
-        df = step.apply(df)
+    for number, step in enumerate(steps):
+        df = step.apply(df, number) if isinstance(step, AddNoise) else step.apply(df)
     return df
 
 
@@ -135,7 +138,7 @@ def revert(steps: Sequence[Step], column: str) -> list[Step]:
     """The recipe without the column's steps; ``ValueError`` if it has none."""
     kept = [s for s in steps if s.column != column]
     if len(kept) == len(steps):
-        raise ValueError(f"No original data available for column {column}.")
+        raise ValueError(f"The recipe has no step for column {column}.")
     return kept
 
 
@@ -167,8 +170,8 @@ def combine_values(
     longer: History = {c: list(done) for c, done in history.items()}
     longer.setdefault(column, []).append(([tidy(v) for v in values], tidy(replacement)))
     replayed = _replay(df, history)
-    # Python's strip() drops tabs and line breaks too.
-    trimmed = replayed.withColumn(column, F.regexp_replace(col(column), r"^\s+|\s+$", ""))
+    # Tabs, line breaks and the blanks of other scripts go, too.
+    trimmed = replayed.withColumn(column, F.regexp_replace(col(column), r"(?U)^\s+|\s+$", ""))
     return _replay(trimmed, longer), longer
 
 

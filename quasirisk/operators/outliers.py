@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quasirisk.plans.keys import clean, col, require_columns
-from quasirisk.plans.materialize import Measured, materialize
-from quasirisk.plans.quantile import ONE_TASK_VALUES, percentiles_of_counts, value_counts
+from quasirisk.plans.materialize import Measured, materialize, materialize_measured
+from quasirisk.plans.quantile import percentiles_of_counts, value_counts
 
 # Consistency constant of the MAD, default threshold, fewest values tested.
 MAD_SCALE = 0.6745
@@ -15,17 +15,12 @@ DEFAULT_K = 2.2414
 MIN_VALUES = 5
 
 
-def _series(counts: Measured, zero_fallback: bool) -> DataFrame:
-    """Value counts by series: 0 = all values, 1 = non-zero values, where it may be needed.
-
-    The MAD can only be zero if one value holds at least half of the rows, so otherwise
-    the second series is left out.
-    """
-    may_fall_back = zero_fallback and (counts.seen["heaviest"] or 0) * 2 >= (counts.seen["total"] or 0)
-    if not may_fall_back:
-        return counts.table.withColumn("series", F.lit(0))
+def _series(counts: Measured, zero_fallback: bool) -> Measured:
+    """Value counts by series: 0 = all values, 1 = non-zero values, where they may be needed."""
+    if not zero_fallback:
+        return Measured(counts.table.withColumn("series", F.lit(0)), counts.rows, counts.bytes)
     both = F.when(F.col("x") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return counts.table.withColumn("series", F.explode(both))
+    return Measured(counts.table.withColumn("series", F.explode(both)), 2 * counts.rows, 2 * counts.bytes)
 
 
 def _by_series(figures: DataFrame, column: str) -> Column:
@@ -36,18 +31,17 @@ def _by_series(figures: DataFrame, column: str) -> Column:
 
 def _robust_scale(counts: Measured, zero_fallback: bool) -> DataFrame:
     """At most one row: the series to test with its median, quartiles and MAD."""
-    one_task = counts.rows <= ONE_TASK_VALUES
     series = _series(counts, zero_fallback)
-    quartiles = percentiles_of_counts(series, [0.25, 0.5, 0.75], ["series"], one_task)
+    quartiles = percentiles_of_counts(series, [0.25, 0.5, 0.75], ["series"])
     spread = materialize(quartiles.select(
         "series", F.col("total").alias("rows"), F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3")
     ))
     # At most two rows, one per series, from here on.
     median = _by_series(spread, "median")
-    away = series.select("series", F.abs(F.col("x") - median).alias("x"), "n")
-    if not one_task:
-        away = materialize(away.groupBy("series", "x").agg(F.sum("n").alias("n")))
-    mads = percentiles_of_counts(away, [0.5], ["series"], one_task)
+    # An infinite value is infinitely far from an infinite median only if they differ.
+    distance = F.when(F.col("x") == median, F.lit(0.0)).otherwise(F.abs(F.col("x") - median))
+    away = series.table.select("series", distance.alias("x"), "n").groupBy("series", "x").agg(F.sum("n").alias("n"))
+    mads = percentiles_of_counts(materialize_measured(away), [0.5], ["series"])
     scales = spread.withColumn("mad", _by_series(mads, "p0"))
     fields = F.struct("series", "rows", "q1", "median", "q3", "mad")
     both = scales.agg(

@@ -82,7 +82,7 @@ def risk_summary(
     full_key = ~any_null(key_names(len(qi)))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total_rows"),
-        F.lit(len(df.columns)).alias("total_columns"),
+        F.lit(len([c for c in df.columns if c not in (weight, WEIGHT)])).alias("total_columns"),
         F.lit(len(qi)).alias("num_selected_columns"),
         F.count_if(F.col("n") == 1).alias("num_unique_rows"),
         F.min(F.when(full_key, F.col("n"))).alias("k_anonymity"),

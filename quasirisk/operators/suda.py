@@ -11,12 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quasirisk.functions.rounding import python_round
 from quasirisk.operators.encode import category_codes, encoded_rows, string_columns
-from quasirisk.plans.keys import bits_where, col, collapse, key_names, require_columns, require_mask_width
-from quasirisk.plans.lattice import cells, int_array, subset_cells, subset_masks
+from quasirisk.plans.keys import bits_where, col, collapse, key_names, may_equal, require_columns, require_mask_width
+from quasirisk.plans.lattice import cells, mask_array, subset_cells, subset_masks
 from quasirisk.plans.lookup import attach_unique
 from quasirisk.plans.materialize import Measured, materialize, materialize_measured
 
@@ -28,8 +27,7 @@ def _missing_bits(df: DataFrame, qi: Sequence[str], missing_value, missing_nulls
     conditions = []
     for name, key in zip(qi, key_names(len(qi))):
         hit = F.col(key).isNull() if missing_nulls else F.lit(False)
-        same_kind = isinstance(missing_value, str) == isinstance(df.schema[name].dataType, T.StringType)
-        if missing_value is not None and same_kind:
+        if missing_value is not None and may_equal(df.schema[name].dataType, missing_value):
             hit = hit | (F.col(key) == F.lit(missing_value))
         conditions.append(hit)
     return bits_where(conditions)
@@ -44,7 +42,7 @@ def _minimal(masks: Column) -> Column:
     covered = lambda acc, s: F.exists(acc, lambda y: s.bitwiseAND(y) == y)
     return F.aggregate(
         by_size,
-        F.array().cast("array<int>"),
+        F.array().cast("array<bigint>"),
         lambda acc, s: F.when(covered(acc, s), acc).otherwise(F.concat(acc, F.array(s))),
     )
 
@@ -79,20 +77,21 @@ def special_uniques(
     def uniques(counted: DataFrame) -> DataFrame:
         return counted.where(F.col("n") == 1).groupBy("rid").agg(F.collect_list("mask").alias("found"))
 
-    if len(subset_masks(m, 1, top)) <= ONE_PASS_SUBSETS:
+    if sum(math.comb(m, size) for size in range(1, top + 1)) <= ONE_PASS_SUBSETS:
         found = uniques(subset_cells(base, m, subset_masks(m, 1, top), blocked, with_id=True))
         return materialize_measured(found.select("rid", _minimal(F.col("found")).alias("msus")))
 
     # A record unique on T is alone in its cell for every superset of T, so leaving it
     # out there changes no other cell: each level counts only what is still open.
-    state = materialize(base.withColumn("blocked", blocked).withColumn("msus", F.array().cast("array<int>")))
+    state = materialize(base.withColumn("blocked", blocked).withColumn("msus", F.array().cast("array<bigint>")))
     for size in range(1, top + 1):
         open_masks = F.filter(
-            int_array(subset_masks(m, size, size)),
+            F.col("wanted"),
             lambda s: (s.bitwiseAND(F.col("blocked")) == 0) & ~F.exists(F.col("msus"), lambda y: s.bitwiseAND(y) == y),
         )
-        found = uniques(cells(state.withColumn("mask", F.explode(open_masks)), m, with_id=True))
-        grown = F.concat("msus", F.coalesce(F.array_sort("found"), F.array().cast("array<int>")))
+        listed = state.withColumn("wanted", mask_array(df.sparkSession, subset_masks(m, size, size)))
+        found = uniques(cells(listed.withColumn("mask", F.explode(open_masks)).drop("wanted"), m, with_id=True))
+        grown = F.concat("msus", F.coalesce(F.array_sort("found"), F.array().cast("array<bigint>")))
         state = materialize(state.join(found, "rid", "left").withColumn("msus", grown).drop("found"))
     return materialize_measured(state.where(F.size("msus") > 0).select("rid", "msus"))
 
@@ -105,7 +104,7 @@ def msu_weights(m: int, max_size: int | None = None) -> list[float]:
 
 def _holds(i: int):
     """Lambda telling whether a mask contains column i."""
-    return lambda s: s.bitwiseAND(F.lit(1 << i)) != 0
+    return lambda s: s.bitwiseAND(F.lit(1 << i).cast("long")) != 0
 
 
 def _weighted(uniques: DataFrame, m: int, max_size: int | None) -> DataFrame:
@@ -122,22 +121,27 @@ def _weighted(uniques: DataFrame, m: int, max_size: int | None) -> DataFrame:
     return uniques.select("*", total(F.col("msus")).alias("score"), *holding)
 
 
-def _dis_level(base: DataFrame, sample_fraction: float) -> Column:
-    """Scalar struct (ones, theta): size-1 cells and the file-level intrusion risk.
+def _require_fraction(sample_fraction: float) -> None:
+    if not 0 < sample_fraction <= 1:
+        raise ValueError("sample_fraction must be in (0, 1].")
+
+
+def _level(base: DataFrame, sample_fraction: float) -> DataFrame:
+    """One row (ones, twos, theta): cells of size 1 and 2 and the file-level intrusion risk.
 
     theta = p*n1 / (p*n1 + 2*(1-p)*n2) with n1, n2 the number of cells of size 1 and 2.
     """
     p = float(sample_fraction)
     counts = base.agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"))
     theta = F.try_divide(p * F.col("ones"), p * F.col("ones") + 2.0 * (1.0 - p) * F.col("twos"))
-    return counts.select(F.struct(F.col("ones"), theta.alias("theta"))).scalar()
+    return counts.withColumn("theta", theta)
 
 
 def minimal_sample_uniques(df: DataFrame, qi: Sequence[str], row_id: str, **options) -> DataFrame:
     """One row per record and MSU: row_id, msu (column names joined by ", "), size."""
     found = special_uniques(df, qi, row_id, **options).table
     names = F.array(*[F.lit(c) for c in qi])
-    flags = F.expr("array(" + ", ".join(str(1 << i) for i in range(len(qi))) + ")")
+    flags = F.expr("array(" + ", ".join(f"{1 << i}L" for i in range(len(qi))) + ")")
     out = found.select(F.col("rid").alias(row_id), F.explode("msus").alias("mask"))
     chosen = F.filter(
         F.zip_with(names, flags, lambda c, b: F.when(F.col("mask").bitwiseAND(b) != 0, c)), lambda c: c.isNotNull()
@@ -146,14 +150,14 @@ def minimal_sample_uniques(df: DataFrame, qi: Sequence[str], row_id: str, **opti
 
 
 def _scored(
-    df: DataFrame, base: DataFrame, qi: Sequence[str], row_id: str, sample_fraction: float, max_size: int | None, **options
-) -> Measured:
+    df: DataFrame, base: DataFrame, qi: Sequence[str], row_id: str, sample_fraction: float, max_size: int | None,
+    missing_value, missing_nulls: bool,
+) -> Measured:
     """Special uniques only: rid, n_msu, score, dis_score; with the size of their table."""
-    if not 0 < sample_fraction <= 1:
-        raise ValueError("sample_fraction must be in (0, 1].")
-    uniques = special_uniques(df, qi, row_id, max_size=max_size, base=base, **options)
+    _require_fraction(sample_fraction)
+    uniques = special_uniques(df, qi, row_id, max_size, missing_value, missing_nulls, base)
     found = _weighted(uniques.table, len(qi), max_size).select("rid", F.size("msus").alias("n_msu"), "score")
-    level = _dis_level(base, sample_fraction)
+    level = _level(base, sample_fraction).select(F.struct("ones", "theta")).scalar()
     total = found.agg(F.sum("score")).scalar()
     dis = F.try_divide(F.col("score") * level["theta"] * level["ones"], total)
     scored = found.withColumn("dis", dis).withColumn("dis_score", python_round(F.col("dis"), 4)).drop("dis")
@@ -161,7 +165,14 @@ def _scored(
 
 
 def suda_scores(
-    df: DataFrame, qi: Sequence[str], row_id: str, sample_fraction: float = 0.2, max_size: int | None = None, **options
+    df: DataFrame,
+    qi: Sequence[str],
+    row_id: str,
+    sample_fraction: float = 0.2,
+    max_size: int | None = None,
+    missing_value=None,
+    missing_nulls: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Every row: row_id, n_msu, score, dis_score (4 decimals), dis_prob (capped at 1).
 
@@ -170,8 +181,8 @@ def suda_scores(
     """
     qi = require_columns(df, qi)
     require_columns(df, [row_id])
-    base = materialize(collapse(df, qi, row_id))
-    scored = _scored(df, base, qi, row_id, sample_fraction, max_size, **options)
+    base = materialize(collapse(df, qi, row_id, weight))
+    scored = _scored(df, base, qi, row_id, sample_fraction, max_size, missing_value, missing_nulls)
     rows = attach_unique(df.select(col(row_id).alias("rid")), scored, "rid")
     return rows.select(
         F.col("rid").alias(row_id),
@@ -185,11 +196,8 @@ def file_level_risk(
     df: DataFrame, qi: Sequence[str], sample_fraction: float = 0.2, weight: str | None = None
 ) -> DataFrame:
     """One row: cells of size 1 and 2 and the file-level intrusion risk theta."""
-    base = collapse(df, require_columns(df, qi), weight=weight)
-    p = float(sample_fraction)
-    counts = base.agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos"))
-    theta = F.try_divide(p * F.col("ones"), p * F.col("ones") + 2.0 * (1.0 - p) * F.col("twos"))
-    return counts.withColumn("theta", theta)
+    _require_fraction(sample_fraction)
+    return _level(collapse(df, require_columns(df, qi), weight=weight), sample_fraction)
 
 
 def _column_entries(qi: Sequence[str], *more: tuple[str, object]) -> Column:
@@ -270,13 +278,20 @@ def rounded(contributions: DataFrame) -> DataFrame:
 
 
 def suda_record_table(
-    df: DataFrame, qi: Sequence[str], row_id: str, sample_fraction: float = 0.2, max_size: int | None = None, **options
+    df: DataFrame,
+    qi: Sequence[str],
+    row_id: str,
+    sample_fraction: float = 0.2,
+    max_size: int | None = None,
+    missing_value=None,
+    missing_nulls: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Every row: row_id, the QIs encoded as doubles, dis_score, score."""
     qi = require_columns(df, qi)
     require_columns(df, [row_id])
-    base = materialize(collapse(df, qi, row_id))
-    scored = _scored(df, base, qi, row_id, sample_fraction, max_size, **options)
+    base = materialize(collapse(df, qi, row_id, weight))
+    scored = _scored(df, base, qi, row_id, sample_fraction, max_size, missing_value, missing_nulls)
     rows = attach_unique(encoded_rows(df, base, qi, row_id), scored, "rid")
     return rows.select(
         F.col("rid").alias(row_id),

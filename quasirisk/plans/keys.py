@@ -8,7 +8,9 @@ each map task as a single record.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +37,23 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def require_mask_width(qi: Sequence[str]) -> int:
-    """Number of QIs; subsets are int bitmasks, so at most 30."""
-    if len(qi) > 30:
-        raise ValueError("At most 30 quasi-identifiers are supported.")
+    """Number of QIs; arbitrary subsets are long bitmasks, so at most 62."""
+    if len(qi) > 62:
+        raise ValueError("Subsets of more than 62 quasi-identifiers cannot be listed.")
     return len(qi)
 
 
+def may_equal(dtype: T.DataType, value: object) -> bool:
+    """Whether a column of this type can hold the value; others never match it."""
+    if isinstance(value, bool):
+        return isinstance(dtype, T.BooleanType)
+    if isinstance(value, (int, float, Decimal)):
+        return isinstance(dtype, T.NumericType)
+    if isinstance(value, datetime.date):
+        return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    return isinstance(value, str) and isinstance(dtype, T.StringType)
+
+
 def clean(df: DataFrame, name: str) -> Column:
     """The column with floating NaN read as NULL (Spark keeps the two apart)."""
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
@@ -79,8 +92,8 @@ def any_null(keys: Sequence[str]) -> Column:
 
 
 def bits_where(conditions: Sequence[Column]) -> Column:
-    """Int bitmask with bit i set where condition i holds (NULL counts as no)."""
-    out = F.lit(0)
+    """Long bitmask with bit i set where condition i holds (NULL counts as no)."""
+    out = F.lit(0).cast("long")
     for i, c in enumerate(conditions):
-        out = out.bitwiseOR(F.when(c, F.lit(1 << i)).otherwise(F.lit(0)))
+        out = out.bitwiseOR(F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return out

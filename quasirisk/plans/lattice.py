@@ -1,6 +1,6 @@
 """Counting all wanted subsets of the QIs from the collapsed base.
 
-A subset is an int bitmask (bit i = QI i).  Rows are exploded by the subset list,
+A subset is a long bitmask (bit i = QI i).  Rows are exploded by the subset list,
 unselected keys are blanked, and one map-side-combined aggregate keyed by (mask, keys)
 counts every subset at once; the mask in the key tells "not selected" from a genuine
 NULL.  The plan has the same size for 3 or 300 subsets.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quasirisk.plans.keys import bits_where, key_names
@@ -40,13 +40,14 @@ def subset_name(mask: int, qi: Sequence[str]) -> str:
     return ", ".join(c for i, c in enumerate(qi) if mask >> i & 1)
 
 
-def int_array(values: Sequence[int]) -> Column:
-    return F.expr("array(" + ", ".join(map(str, values)) + ")")
+def mask_array(spark: SparkSession, masks: Sequence[int]) -> Column:
+    """The masks as one array<bigint>, from a one-row table rather than in the query's text."""
+    return spark.createDataFrame([([int(s) for s in masks],)], "masks array<bigint>").scalar()
 
 
 def cells(long: DataFrame, m: int, with_id: bool = False) -> DataFrame:
     """Aggregate exploded (mask, k0.., n[, rid]) rows to one row per subset cell."""
-    masked = [f"IF(mask & {1 << i} <> 0, {k}, NULL) AS {k}" for i, k in enumerate(key_names(m))]
+    masked = [f"IF(mask & {1 << i}L <> 0, {k}, NULL) AS {k}" for i, k in enumerate(key_names(m))]
     aggs = [F.sum("n").alias("n")]
     if with_id:
         aggs.append(F.min("rid").alias("rid"))
@@ -67,41 +68,24 @@ def subset_cells(
         return rows if unusable is None else rows.where(wanted.bitwiseAND(unusable) == 0)
 
     masks = sorted(set(masks))
+    spark = base.sparkSession
     if len(masks) <= ONE_STEP_SUBSETS:
-        return cells(usable(base.withColumn("mask", F.explode(int_array(masks))), F.col("mask")), m, with_id)
+        return cells(usable(base.withColumn("mask", F.explode(mask_array(spark, masks))), F.col("mask")), m, with_id)
     first_half = (1 << (m + 1) // 2) - 1
     second_half = ((1 << m) - 1) ^ first_half
     members: dict[int, list[int]] = {}
     for s in masks:
         members.setdefault(s & first_half | second_half, []).append(s)
-    steps = base.withColumn("mask", F.explode(int_array(sorted(members))))
-    kept_first = F.col("mask").bitwiseAND(F.lit(first_half))
+    steps = base.withColumn("mask", F.explode(mask_array(spark, sorted(members))))
+    kept_first = F.col("mask").bitwiseAND(F.lit(first_half).cast("long"))
     halfway = cells(usable(steps, kept_first), m, with_id)
-    lists = F.create_map(*[x for p, s in sorted(members.items()) for x in (F.lit(p), int_array(s))])
-    final = halfway.withColumn("mask", F.explode(F.element_at(lists, F.col("mask"))))
+    # Each pattern of the first step with the subsets it leads to; as long as the subset list.
+    lists = spark.createDataFrame(sorted(members.items()), "mask long, members array<bigint>")
+    final = halfway.join(lists, "mask").withColumn("mask", F.explode("members")).drop("members")
     return cells(usable(final, F.col("mask")), m, with_id)
 
 
 def subset_statistics(base: DataFrame, m: int, masks: Sequence[int], drop_nulls: bool) -> DataFrame:
-    """One row holding ``stats``: map mask -> (uniques, values).
-
-    ``uniques`` counts cells of size 1, ``values`` cells with any non-null key (for a
-    one-column subset: its distinct non-null values).  The map has at most one entry
-    per subset, whatever the size of the data.
-    """
-    set_key = F.lit(False)
-    for k in key_names(m):
-        set_key = set_key | F.col(k).isNotNull()
+    """(mask, uniques), one row per subset that has cells: the number of its cells of size 1."""
     nulls = bits_where([F.col(k).isNull() for k in key_names(m)]) if drop_nulls else None
-    per_mask = (
-        subset_cells(base, m, masks, nulls)
-        .groupBy("mask")
-        .agg(F.count_if(F.col("n") == 1).alias("uniques"), F.count_if(set_key).alias("values"))
-    )
-    entry = F.struct("mask", F.struct("uniques", "values"))
-    return per_mask.agg(F.map_from_entries(F.collect_list(entry)).alias("stats"))
-
-
-def stat(mask: Column, field: str) -> Column:
-    """Read a subset's statistic from the ``stats`` map; absent subsets count 0."""
-    return F.coalesce(F.try_element_at(F.col("stats"), mask)[field], F.lit(0).cast("long"))
+    return subset_cells(base, m, masks, nulls).groupBy("mask").agg(F.count_if(F.col("n") == 1).alias("uniques"))

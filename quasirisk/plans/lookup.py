@@ -36,20 +36,33 @@ def join_struct_key(left: DataFrame, right: DataFrame, on: str, how: str = "inne
 def skew_safe_lookup(
     left: DataFrame, right: DataFrame | Measured, on: str, rows_per_key: str, total_rows: Column
 ) -> DataFrame:
-    """Inner join of ``left`` with ``right`` (unique on ``on``), safe for heavy keys.
+    """Join of ``left`` with ``right`` (unique on ``on``), safe for heavy keys.
 
     ``on`` may be a struct column: structs with NULL fields compare equal, which makes
-    the join null-safe while staying an equi-join.  Each left key should be present on
-    the right.
+    the join null-safe while staying an equi-join.  Each left key must be present on the
+    right: a row without a partner (an input that changed between two reads) ends the job.
     """
     known = right if isinstance(right, Measured) else materialize_measured(right)
+    given = [c for c in known.table.columns if c not in (on, rows_per_key)]
     if is_small(known):
-        return left.join(F.broadcast(known.table.drop(rows_per_key)), on)
+        return _complete(left.join(F.broadcast(_marked(known.table.drop(rows_per_key))), on, "left"), given)
     is_hot = F.col(rows_per_key) * F.lit(HOT_SHARE) > total_rows
     hot = F.broadcast(known.table.where(is_hot).drop(rows_per_key))
     cold = known.table.where(~is_hot).drop(rows_per_key)
     light = left.join(hot.select(on), on, "left_anti")
-    return left.join(hot, on).unionByName(join_struct_key(light, cold, on))
+    rest = _complete(join_struct_key(light, _marked(cold), on, "left"), given)
+    return left.join(hot, on).unionByName(rest)
+
+
+def _marked(right: DataFrame) -> DataFrame:
+    return right.withColumn("_met", F.lit(True))
+
+
+def _complete(joined: DataFrame, given: list[str]) -> DataFrame:
+    """Whatever column of the right side is read, a row without a partner is found out."""
+    lost = F.raise_error(F.lit("A row has no counterpart: the input changed between two reads."))
+    checked = {c: F.when(F.col("_met").isNull(), lost.cast(joined.schema[c].dataType)).otherwise(F.col(c)) for c in given}
+    return joined.withColumns(checked).drop("_met")
 
 
 def attach_unique(left: DataFrame, right: Measured, on: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -13,12 +12,20 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private one only where none is set."""
+    """The session's checkpoint folder; where none is set, a folder in its warehouse.
+
+    A warehouse on a local path is shared only if the master is local, too.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not named:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")) and not sc.master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
+        named = os.path.join(warehouse, "_checkpoints")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quasirisk-"))
-    return named or sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
 
 
 def new_path(spark: SparkSession, prefix: str) -> str:

@@ -1,11 +1,11 @@
 """Exact percentiles of a column of any size, with frequency weights.
 
-The built-in exact ``percentile`` keeps the distinct values of a group in the memory of
-one task.  That is fine for a measured, moderate number of them.  Beyond it, the
-distinct values are range-partitioned; each range reports its bounds and weight (one
-row per partition); the running totals say which range holds the wanted rank; only that
-range's values are ranked.  Ranges are picked by value bounds, not by partition number,
-so the answer is the same however Spark splits them.
+Distinct values with their weights are counted once and kept.  Each wanted rank lies in a
+range of values, at first all of a group's.  While such a range has more than a bounded
+number of distinct values, it is cut by range partitioning, each part reports its bounds
+and weight, and the running totals over the parts say which one holds the rank.  Ranges are
+kept by their value bounds, not by partition number, so the answer is the same however Spark
+cuts them.  Only the values of the last, small range are ranked.
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quasirisk.plans.keys import clean, col
 from quasirisk.plans.materialize import Measured, materialize_measured
 
-# Up to this many distinct values the built-in aggregate does the job.
-ONE_TASK_VALUES = 2_000_000
+# Distinct values that one task may rank.
+RANKED_VALUES = 200_000
 
 
 def value_counts(df: DataFrame, value: str, weight: str | None = None, by: Sequence[str] = ()) -> Measured:
@@ -32,68 +32,81 @@ def value_counts(df: DataFrame, value: str, weight: str | None = None, by: Seque
         .groupBy(*by, "x")
         .agg(F.sum("n").alias("n"))
     )
-    return materialize_measured(counts, total="sum(n)", heaviest="max(n)")
+    return materialize_measured(counts)
 
 
-def percentiles_of_counts(
-    counts: DataFrame, fractions: Sequence[float], by: Sequence[str] = (), one_task: bool = False
-) -> DataFrame:
-    """Linear-interpolated percentiles p0, p1, ... and ``total`` from value counts.
-
-    ``counts`` must be materialised unless one_task.  One row per ``by`` group (``by``
-    must name few groups, such as the columns of a table); none for an empty group.
-    """
-    by = list(by)
-    if one_task:
-        listed = ", ".join(f"{float(p)!r}D" for p in fractions)
-        both = counts.groupBy(*by).agg(
-            F.sum("n").alias("total"), F.expr(f"percentile(x, array({listed}), n)").alias("p")
-        )
-        points = [F.col("p")[i].alias(f"p{i}") for i in range(len(fractions))]
-        return both.where(F.col("total").isNotNull()).select(*by, "total", *points)
-    return _percentiles_by_range(counts, fractions, by)
-
-
-def _percentiles_by_range(counts: DataFrame, fractions: Sequence[float], by: list[str]) -> DataFrame:
-    ranges = (
-        counts.repartitionByRange(*by, "x")
-        .withColumn("_part", F.spark_partition_id())
-        .groupBy("_part", *by)
-        .agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("rows"))
-    )
-    # These windows run over one row per range, not over values.
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    upto = group.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+def _first_ranges(counts: DataFrame, fractions: Sequence[float], by: list[str]) -> DataFrame:
+    """One row per group and fraction: the wanted ranks and the range of all values."""
     wanted = ", ".join(f"named_struct('f', {i}, 'fraction', {float(p)!r}D)" for i, p in enumerate(fractions))
-    holds = lambda rank: (F.col("before") <= rank) & (rank < F.col("before") + F.col("rows"))
-    picks = (
-        ranges.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0)))
-        .withColumn("total", F.sum("rows").over(group))
-        .withColumn("w", F.explode(F.expr(f"array({wanted})")))
-        .select(*by, "lo", "hi", "rows", "before", "total", "w.f", "w.fraction")
-        .withColumn("position", F.col("fraction") * (F.col("total") - 1))
-        .withColumn("low_rank", F.floor("position"))
-        .withColumn("high_rank", F.ceil("position"))
-        .where(holds(F.col("low_rank")) | holds(F.col("high_rank")))
-        .groupBy(*by, "f", "position", "low_rank", "high_rank", "total")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before"))
+    groups = counts.groupBy(*by).agg(
+        F.sum("n").alias("total"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("cells")
     )
+    position = F.col("w.fraction") * (F.col("total") - 1)
+    return groups.where(F.col("total").isNotNull()).withColumn("w", F.explode(F.expr(f"array({wanted})"))).select(
+        *by, F.col("w.f").alias("f"), "total", position.alias("position"), F.floor(position).alias("low_rank"),
+        F.ceil(position).alias("high_rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), "cells",
+    )
+
+
+def _inside(counts: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """The values of each range, with the range's fields."""
     # One entry per group and fraction, so the list is bounded by the call.
-    listed = picks.agg(F.collect_list(F.struct(*picks.columns))).scalar()
+    listed = ranges.agg(F.collect_list(F.struct(*ranges.columns))).scalar()
     here = lambda p: reduce(
         lambda all_of, b: all_of & (p[b] == F.col(b)), by, (p["lo"] <= F.col("x")) & (F.col("x") <= p["hi"])
     )
-    found = counts.withColumn("picks", listed).withColumn("p", F.explode(F.filter("picks", here)))
-    fields = [F.col(f"p.{c}").alias(c) for c in picks.columns if c not in by]
+    found = counts.withColumn("ranges", listed).withColumn("p", F.explode(F.filter("ranges", here)))
+    return found.select(*by, "x", "n", *[F.col(f"p.{c}").alias(c) for c in ranges.columns if c not in by])
+
+
+def _cut(counts: DataFrame, ranges: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """The part of each range that holds its wanted ranks."""
+    fixed = [*by, "f", "total", "position", "low_rank", "high_rank", "before"]
+    cut = (
+        _inside(counts, ranges, by)
+        .repartitionByRange(parts, *by, "f", "x")
+        .withColumn("_part", F.spark_partition_id())
+        .groupBy("_part", *fixed)
+        .agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cells"))
+    )
+    # This window runs over one row per part, not over values.
+    upto = Window.partitionBy(*by, "f").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("before", F.col("before") + F.coalesce(F.sum("rows").over(upto), F.lit(0)))
+    holds = lambda rank: (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("rows"))
+    kept = cut.where(holds("low_rank") | holds("high_rank")).groupBy(*fixed[:-1])
+    return kept.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before"), F.sum("cells").alias("cells"))
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation; equal or infinite ends stand for themselves."""
+    flat = (low == high) | (F.abs(low) == float("inf"))
+    return F.when(flat, low).otherwise(low + (high - low) * share)
+
+
+def percentiles_of_counts(counts: Measured, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolated percentiles p0, p1, ... and ``total`` from value counts.
+
+    One row per ``by`` group (``by`` must name few groups, such as the columns of a table);
+    none for an empty group.
+    """
+    by = list(by)
+    ranges = _first_ranges(counts.table, fractions, by)
+    largest = counts.rows
+    while largest > RANKED_VALUES:
+        parts = -(-2 * largest * len(fractions) // RANKED_VALUES)
+        cut = _cut(counts.table, ranges, by, parts)
+        rows = cut.collect()  # one per group and fraction
+        ranges = counts.table.sparkSession.createDataFrame(rows, cut.schema)
+        largest = max((r["cells"] for r in rows), default=0)
     running = Window.partitionBy(*by, "f").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = found.select(*by, "x", "n", *fields).withColumn("seen", F.col("before") + F.sum("n").over(running))
+    ranked = _inside(counts.table, ranges, by).withColumn("seen", F.col("before") + F.sum("n").over(running))
     value_at = lambda rank: F.min(F.when(F.col("seen") > F.col(rank), F.col("x")))
     points = ranked.groupBy(*by, "f", "total", "position", "low_rank").agg(
         value_at("low_rank").alias("low"), value_at("high_rank").alias("high")
     )
-    between = F.col("low") + (F.col("high") - F.col("low")) * (F.col("position") - F.col("low_rank"))
+    value = _between(F.col("low"), F.col("high"), F.col("position") - F.col("low_rank"))
     return points.groupBy(*by, "total").agg(
-        *[F.max(F.when(F.col("f") == i, between)).alias(f"p{i}") for i in range(len(fractions))]
+        *[F.max(F.when(F.col("f") == i, value)).alias(f"p{i}") for i in range(len(fractions))]
     )
 
 
@@ -107,5 +120,4 @@ def exact_percentiles(
     """Exact percentiles of ``value``: ``by``.., total, p0, p1, ...; NULLs are left out."""
     if any(not 0 <= p <= 1 for p in fractions):
         raise ValueError("Fractions must be between 0 and 1.")
-    counts = value_counts(df, value, weight, by)
-    return percentiles_of_counts(counts.table, fractions, by, counts.rows <= ONE_TASK_VALUES)
+    return percentiles_of_counts(value_counts(df, value, weight, by), fractions, by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -35,7 +36,8 @@ def default_name(kind: str, now: datetime | None = None) -> str:
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Write with a header; a sorted table keeps its order across part files."""
-    df.write.option("header", True).option("escape", '"').csv(path)
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # of values, which keep theirs
+    df.write.option("header", True).option("escape", '"').options(**blanks).csv(path)
     return path
 
 
@@ -55,16 +57,11 @@ def write_suda_records(records: DataFrame, row_id: str, path: str) -> str:
     return write_csv(ordered.withColumnRenamed("dis_score", "dis-score"), path)
 
 
-def write_contributions(contributions: DataFrame, path: str) -> str:
-    """Attribute contributions with their rank as index, largest first."""
-    # One row per column of the table.
-    listed = contributions.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("contribution")).alias("down"), "variable"))).alias("all")
-    )
-    ranked = listed.select(F.posexplode("all").alias("index", "e"))
-    return write_csv(
-        ranked.select("index", F.col("e.variable").alias("variable"), (-F.col("e.down")).alias("contribution")), path
-    )
+def write_contributions(contributions: DataFrame, path: str, qi: Sequence[str]) -> str:
+    """Attribute contributions, largest first; the index is the column's place among the QIs."""
+    place = F.array_position(F.array(*[F.lit(c) for c in qi]), F.col("variable")) - 1
+    table = contributions.select(place.alias("index"), "variable", "contribution")
+    return write_csv(table.orderBy(F.desc("contribution"), "index"), path)
 
 
 def write_influence(influence: DataFrame, path: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,23 +60,39 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _checked(reader: DataFrameReader, path: str) -> DataFrame:
+    """The fields as text, under trimmed names; ends the job where a line has too many."""
+    names = reader.csv(path).columns
+    fields = [T.StructField(f"_{i}", T.StringType()) for i in range(len(names) + 1)]
+    # A further field catches what is beyond the header; that is the rule, not the exception.
+    wide = reader.option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
+    surplus = F.raise_error(F.lit("A line has more fields than the header."))
+    over = col(fields[-1].name).isNotNull()
+    return wide.select(*[
+        F.when(over, surplus.cast("string")).otherwise(col(f.name)).alias(n.strip()) for f, n in zip(fields, names)
+    ])
+
+
 def load_table(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
     missing_tokens: Sequence[str] = MISSING_TOKENS,
-    multiline: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """Read a delimited file with a header: tab for ``.tsv``, comma otherwise.
 
     Names are trimmed, values are not; missing tokens become NULL.  Types are found in
-    one pass over the data unless a schema (of the trimmed names) is given.  Files are
-    split between tasks; multiline (line breaks inside quotes) gives that up.
+    one pass over the data unless a schema (of the trimmed names) is given.  A line with
+    more fields than the header ends the job, one with fewer is filled up with NULL.  Line
+    breaks inside quotes belong to the value; ``multiline=False`` promises that there are
+    none, and lets Spark split each file between tasks.
     """
     reader = spark.read.option("header", True).option("sep", "\t" if path.lower().endswith(".tsv") else ",")
     reader = reader.option("escape", '"').option("multiLine", multiline).option("inferSchema", False)
     # Spark keeps "" apart from an empty field; both count as missing here.
-    raw = trim_header(reader.option("emptyValue", "").csv(path))
+    reader = reader.option("emptyValue", "")
+    raw = _checked(reader, path)
     text = raw.select(*[F.when(~col(c).isin(*missing_tokens), col(c)).alias(c) for c in raw.columns])
     if schema is None:
         return _typed(text)
@@ -86,8 +102,8 @@ def load_table(
 
 
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Read a parquet table with trimmed names."""
-    return trim_header(spark.read.parquet(path))
+    """Read a parquet table with trimmed names and floating NaN as NULL."""
+    return nan_to_null(trim_header(spark.read.parquet(path)))
 
 
 def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:

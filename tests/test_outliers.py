@@ -41,10 +41,10 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("one_task", [10**6, 0])
+@pytest.mark.parametrize("ranked", [10**6, 4])
 @pytest.mark.parametrize("name", CASES)
-def test_outliers(spark, monkeypatch, name, one_task):
-    monkeypatch.setattr("quasirisk.operators.outliers.ONE_TASK_VALUES", one_task)
+def test_outliers(spark, monkeypatch, name, ranked):
+    monkeypatch.setattr(quantile, "RANKED_VALUES", ranked)
     df = table(spark, CASES[name])
     for two_sided in (False, True):
         got = {r["id"]: r["z_score"] for r in mad_outliers(df, "v", "id", 2.2414, two_sided).collect()}
@@ -75,9 +75,9 @@ def test_boxplot(spark):
     assert boxplot_statistics(table(spark, CASES["too few"]), "v").count() == 0
 
 
-@pytest.mark.parametrize("one_task", [10**6, 0])
-def test_percentiles(spark, monkeypatch, one_task):
-    monkeypatch.setattr(quantile, "ONE_TASK_VALUES", one_task)
+@pytest.mark.parametrize("ranked", [10**6, 4])
+def test_percentiles(spark, monkeypatch, ranked):
+    monkeypatch.setattr(quantile, "RANKED_VALUES", ranked)
     rng = random.Random(3)
     rows = [(g, round(rng.gauss(0, 5), 1), rng.randint(1, 4)) for g in ("p", "q", "r") for _ in range(150)]
     rows += [("r", None, 5)]
@@ -90,3 +90,23 @@ def test_percentiles(spark, monkeypatch, one_task):
     whole = exact_percentiles(df, "v", [0.5]).first()
     assert whole["p0"] == pytest.approx(percentile([v for _, v, _ in rows if v is not None], 0.5))
     assert exact_percentiles(df.where("v > 1000"), "v", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("ranked", [10**6, 4])
+def test_percentiles_with_infinities(spark, monkeypatch, ranked):
+    monkeypatch.setattr(quantile, "RANKED_VALUES", ranked)
+    values = [0.0, 1.0, 2.0, *[math.inf] * 6]
+    row = exact_percentiles(table(spark, values), "v", [0.0, 0.2, 0.5, 0.75]).first()
+    assert (row["p0"], row["p1"], row["p2"], row["p3"]) == pytest.approx((0.0, 1.6, math.inf, math.inf))
+    low = exact_percentiles(table(spark, [-math.inf, 3.0]), "v", [0.5]).first()
+    assert low["p0"] == -math.inf
+
+
+def test_ranked_range_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "RANKED_VALUES", 50)
+    seen = []
+    original = quantile._inside
+    monkeypatch.setattr(quantile, "_inside", lambda counts, ranges, by: seen.append(ranges) or original(counts, ranges, by))
+    df = spark.range(3000).selectExpr("id", "CAST(id * id AS double) AS v")
+    assert exact_percentiles(df, "v", [0.5]).first()["p0"] == pytest.approx((1499.0**2 + 1500.0**2) / 2)
+    assert max(r["cells"] for r in seen[-1].collect()) <= 50

@@ -2,8 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.check_queries import connect, difference, spark_rows, sql_rows
+from workload import registered
 
 
 @pytest.fixture(scope="module")
@@ -11,10 +12,10 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(n for n, q in registered().items() if q.sql))
 def test_query(spark, con, sf_dir, name):
-    got = spark_rows(queries()[name](spark, sf_dir))
-    assert difference(got, sql_rows(con, oracle_sql()[name])) is None
+    query = registered()[name]
+    assert difference(spark_rows(query.run(spark, sf_dir)), sql_rows(con, query.sql)) is None
 
 
 def test_entry(spark):

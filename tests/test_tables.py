@@ -119,7 +119,7 @@ def test_sinks(spark, tmp_path, five_rows):
     header, rows = header_and_rows(sinks.write_suda_records(records, "id", out("suda.csv")))
     assert header == "salary,city,department,dis-score,score" and rows[0].startswith("70000.0,1.0,2.0")
     shares = rounded(attribute_contributions(five_rows, QI, "id"))
-    header, rows = header_and_rows(sinks.write_contributions(shares, out("shares.csv")))
+    header, rows = header_and_rows(sinks.write_contributions(shares, out("shares.csv"), QI))
     assert header == "index,variable,contribution" and [r.split(",")[0] for r in rows] == ["0", "1", "2"]
     header, rows = header_and_rows(sinks.write_influence(column_influence(five_rows, QI), out("influence.csv")))
     assert header == "Column,Unique Rows After Removal,Difference in Unique Rows,Normalized Difference"

@@ -51,7 +51,9 @@ PART_COLUMNS = ["p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 def _written(spark, df, suffix):
     path = new_path(spark, "table") + suffix
-    df.write.option("header", True).option("sep", "\t" if suffix == ".tsv" else ",").option("escape", '"').csv(path)
+    df.write.option("header", True).option("sep", "\t" if suffix == ".tsv" else ",").option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
@@ -98,8 +100,8 @@ def _records_csv(spark, sf_dir):
 
 def _contributions_csv(spark, sf_dir):
     shares = two_decimals(attribute_contributions(parts(spark, sf_dir), PART_QI, "p_partkey"))
-    path = sinks.write_contributions(shares, new_path(spark, "contributions") + ".csv")
-    return load_table(spark, path).drop("index").withColumn("contribution", F.col("contribution").cast("double"))
+    path = sinks.write_contributions(shares, new_path(spark, "contributions") + ".csv", PART_QI)
+    return load_table(spark, path).withColumn("contribution", F.col("contribution").cast("double"))
 
 
 def _influence_csv(spark, sf_dir):
@@ -187,7 +189,10 @@ FROM t JOIN gains ON {same_tuple(PART_QI)}""",
 SELECT {_encoded(PART_QI, PART_QI[:2], "s")}, score, CAST(printf('%.4f',
   score * (SELECT theta * ones FROM level) / (SELECT sum(score) FROM s)) AS DOUBLE) + 0.0 AS dis_score FROM s""",
     ),
-    "write_contributions": Registered(_contributions_csv, _shares_sql(PART_MSU, PART_QI)),
+    "write_contributions": Registered(
+        _contributions_csv,
+        f"SELECT CAST(list_position({PART_QI}, variable) - 1 AS BIGINT) AS \"index\", * FROM ({_shares_sql(PART_MSU, PART_QI)})",
+    ),
     "write_influence": Registered(
         _influence_csv,
         f"""SELECT "column" AS "Column", unique_count_after_removal AS "Unique Rows After Removal",
