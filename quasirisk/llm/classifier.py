@@ -215,7 +215,7 @@ def quality_scores(
     sample = training_sample(docs, labels, folds, train_rows)
     taught = map_batches(sample, "x array<float>, quality int", make_features).toArrow()
     # The order of rows must not depend on the tasks that deliver them.
-    x = taught.column("x").combine_chunks().flatten().to_numpy().reshape(taught.num_rows, -1).astype(np.float64)
+    x = taught.column("x").combine_chunks().flatten().to_numpy().reshape(-1, 4 * DIMS + 1).astype(np.float64)
     y = taught.column("quality").to_numpy().astype(np.float64)
     order = np.lexsort((*x[:, :8].T, y)) if len(y) else []
     network = spark.sparkContext.broadcast(Network().fit(x[order], y[order]))
