@@ -115,6 +115,39 @@ def test_random_strings_are_found_and_redacted(spark):
     assert [r["text"] for r in redact_secrets(frame, RANKS).filter("doc_id = 4").orderBy("text").collect()] == [None, ""]
 
 
+def test_long_runs_and_slugs_take_linear_time(spark):
+    import time
+
+    slug = "internationalization-administrative-responsibilities-2nd"
+    runs = ["a" * 10_000 + "1a", "aB" * 5_000 + "1x", "Ab_" * 4_000 + "1!a", slug, "A" * 10_000 + "9z", "token=" * 3_000, "0f" * 9_000]
+    texts = [(i, run) for i, run in enumerate(runs)] + [(50, " ".join(f"token={i:08d}x {'k3Jx9Qz7Lm2Vb5Nw8Rt4' + str(i)}" for i in range(4000)))]
+    start = time.monotonic()
+    rows = {r["doc_id"]: r for r in scan_secrets(spark.createDataFrame(texts, "doc_id long, text string"), RANKS).collect()}
+    assert time.monotonic() - start < 60
+    assert rows[3]["spans"] == "" and rows[50]["n_random"] == rows[50]["n_assign"] == 4000
+    held(rows.values(), texts, SECRETS, secret_passes)
+
+
+@pytest.mark.parametrize(
+    ("name", "is_name"),
+    [("plain_word", 1), ("CamelCaseName2", 1), ("A_foo", 1), ("ABcd", 1), ("ABc", 0), ("abX", 0), ("abXY-zz/11==", 1), ("a", 1), ("aBc", 0), ("x1y", 0), ("_a", 0), ("ab__cd", 0)],
+)
+def test_names(name, is_name):
+    from quasirisk.llm.secrets import _NAME
+
+    assert bool(_NAME.fullmatch(name)) == bool(is_name)
+
+
+def test_extra_spans_overlap_no_base_span():
+    from quasirisk.llm.secrets import all_spans
+
+    text = "token=abcdefgh12 " * 3
+    extra = [("random", a, a + 4) for a in range(0, len(text) - 4)]
+    base, spans = all_spans(text, lambda _: extra)
+    want = [s for s in extra if all(s[2] <= b[1] or b[2] <= s[1] for b in base)]
+    assert [s for s in spans if s[0] == "random"] == want
+
+
 def features(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[j : j + 5]) for j in range(len(words) - 4)]
