@@ -52,18 +52,25 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
 SOLID = tuple(b for b in range(256) if b != 32 and not 9 <= b <= 13)
 
 
+#: Longer words are hashed one by one: sums of powers of an odd base repeat on patterns of such length.
+LONG_WORD = 64
+
+
 def make_hasher(of_words: Iterable[int]):
     """Function from UTF-8 bytes to the 64-bit hashes, starts and ends of their words.
 
-    A word is a run of the bytes ``of_words``.  Hashes are differences of polynomial prefix
-    sums, so no word becomes a Python object.
+    A word is a run of the bytes ``of_words``.  Each byte stands for a random number, so that
+    none adds nothing; hashes are differences of polynomial prefix sums, mixed with the length,
+    so no word of usual length becomes a Python object.
     """
     import numpy as np
+    import xxhash
 
     base = 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 1 << 64)
     inside = np.zeros(256, bool)
     inside[list(of_words)] = True
+    stands_for = np.random.default_rng(20).integers(1, (1 << 64) - 1, 256, np.uint64, endpoint=True)
     powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
     def table(which: str, factor: int, n: int):
@@ -79,11 +86,14 @@ def make_hasher(of_words: Iterable[int]):
         edge = np.diff(inside[data].astype(np.int8), prepend=0, append=0)
         starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(data * table("up", base, n + 1)[:n], out=sums[1:])
+        np.cumsum(stands_for[data] * table("up", base, n + 1)[:n], out=sums[1:])
         h = (sums[ends] - sums[starts]) * table("down", inverse, n + 1)[starts]
+        h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
+        for i in np.nonzero(ends - starts > LONG_WORD)[0].tolist():
+            h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]], 77)
         return h, starts, ends
 
     return hashes

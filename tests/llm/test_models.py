@@ -37,6 +37,14 @@ def test_base_scores(docs, pairs, monkeypatch, broadcast):
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 
 
+def test_known_tokens_that_differ_in_nul(spark):
+    train = [i for i in range(400) if not held_out(i, 10)]
+    test = [i for i in range(400) if held_out(i, 10)][:2]
+    rows = [(i, "alpha beta gamma") for i in train] + [(test[0], "alpha\0 beta"), (test[1], "alpha beta")]
+    got = {r["doc_id"]: r["n_known"] for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[test[0]], got[test[1]]) == (2, 3)
+
+
 def test_likelihood_is_the_sum_over_all_state_paths():
     rng = np.random.default_rng(0)
     share = lambda *shape: (x := rng.random(shape)) / x.sum(-1, keepdims=True)
