@@ -91,6 +91,30 @@ def test_short_windows(spark):
     assert got == plain_removal(rows, 3)
 
 
+def test_words_that_end_in_nul(spark):
+    """Words that differ in trailing or repeated NULs are different words."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(w + "\0" * (i % 5 == 0) for i, w in enumerate(words))), (3, " ".join(words))]
+    rows += [(4, " ".join(["\0"] * 60)), (5, " ".join(["\0\0"] * 60)), (6, "ab" * 3000 + " " + "x " * 60), (7, "ba" * 3000 + " " + "y " * 60)]
+    got = Counter(tuple(r)[:4] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect())
+    assert got == plain_removal(rows, 50)
+
+
+def test_hashes_tell_words_apart():
+    import numpy as np
+
+    from quasirisk.llm.text import SOLID, make_hasher
+
+    words = [b"a", b"a\0", b"a\0\0", b"\0", b"\0\0", b"b", b"\0a", b"a" * 64, b"a" * 65]
+    thue = b"a"
+    while len(thue) < 4096:
+        thue += thue.translate(bytes.maketrans(b"ab", b"ba"))
+    words += [thue, thue.translate(bytes.maketrans(b"ab", b"ba"))]
+    h, starts, ends = make_hasher(SOLID)(b" ".join(words * 2))
+    assert len(np.unique(h)) == len(words) and h[: len(words)].tolist() == h[len(words) :].tolist()
+    assert (ends - starts).tolist() == [len(w) for w in words] * 2
+
+
 def test_substring_odd_and_empty(odd, no_docs):
     assert remove_repeats(odd).count() == odd.count()
     assert remove_repeats(no_docs).count() == 0
@@ -147,6 +171,52 @@ def test_benchmark_passages(spark, sf_dir, pairs):
     assert kept == {i for i, _ in rows} - {i for i, _ in got}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5])
+def test_short_items_are_found_at_every_position(spark, size):
+    item = " ".join(["zebra", "quagga", "okapi", "gnu", "kudu"][:size])
+    rows = [(n, " ".join([f"w{k}" for k in range(n)] + [item.upper() + "!"] + ["after"] * (n % 7))) for n in range(400)]
+    bench = spark.createDataFrame([(1, item), (2, "some longer passage that is nowhere to be found in here at all")], "item_id long, text string")
+    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"] for r in found if r["item_id"] == 1 and r["edits"] == 0} == set(range(400))
+
+
+def test_recall_holds_in_every_class(spark, sf_dir):
+    """Every item of the benchmark, copied with as many random edits as are allowed."""
+    import random
+
+    from quasirisk.llm.decontaminate import EXACT, build_index, make_finder
+
+    items = [r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if plain_words(r["text"] or "")]
+    index = build_index(items, 0.2, 0.95)
+    assert all(r >= 0.95 for r in index.recall.values()) and set(index.classes) <= set(index.recall)
+    rng, copies = random.Random(3), []
+    for text in items:
+        words = text.split()
+        for _ in range(len(plain_words(text)) // 5):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([["edited"], [], [words[at], "added"]])
+        copies.append(" ".join(["before"] * rng.randrange(9) + words + ["after"] * 9))
+    want = [nearest(plain_words(t), plain_words(c)) <= 0.2 * len(plain_words(t)) for t, c in zip(items, copies, strict=True)]
+    found = {(row, item) for row, item, _ in make_finder(index)(copies)}
+    hit = [(n, n) in found for n, w in enumerate(want) if w]
+    assert sum(hit) >= 0.9 * len(hit) > 0
+    weak = build_index(items, 0.2, 1.1)
+    assert set(weak.classes) == {EXACT} and weak.recall == {EXACT: 1.0}
+    found = {(row, item) for row, item, _ in make_finder(weak)(copies)}
+    assert all((n, n) in found for n, w in enumerate(want) if w)
+
+
+def test_passages_across_the_edges_of_long_texts(spark, monkeypatch):
+    from quasirisk.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "SLAB", 2000)
+    item = "an unusual sentence which nobody has ever written into any other text before today"
+    gap = " \n" * 300
+    texts = ["x" + " filler" * n + gap + gap.join(item.split()) + " filler" * 500 for n in range(0, 900, 37)]
+    finder = decontaminate.make_finder(decontaminate.build_index([item], 0.2, 0.95))
+    assert {row for row, _, edits in finder(texts) if edits == 0} == set(range(len(texts)))
+
+
 def test_decontamination_odd_and_empty(spark, odd, no_docs):
     bench = spark.createDataFrame([(1, LONG_ITEM), (1, LONG_ITEM)], "item_id long, text string")
     assert drop_leaks(odd, bench).columns == odd.columns
