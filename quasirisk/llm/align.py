@@ -17,12 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quasirisk.llm.store import Store, map_batches
-from quasirisk.llm.text import columns
+from quasirisk.llm.text import columns, slabs
 
 #: Neither vocabulary has a token that goes on behind a single space between other characters.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Parts a worker remembers the links of, their greatest length, and texts looked up together.
-CACHE, CACHED_CHARS, GROUP = 200_000, 64, 64
+#: Characters that all versions of the pattern's classes treat alike.
+_LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*+")
+#: Parts a worker remembers the links of, their greatest length, texts looked up together, and
+#: new parts that are tokenised in one go.
+CACHE, CACHED_CHARS, GROUP, JOINED = 150_000, 64, 64, 512
+#: Characters of texts in one batch of results.
+BATCH_CHARS = 1 << 20
 #: Bytes of text whose matrices are made at once.
 SLAB = 1 << 20
 #: Pairs looked up by broadcast hold more than this share of all links, so there are fewer than that.
@@ -151,21 +156,39 @@ def byte_level_bytes() -> dict[str, int]:
 
 
 def load_byte_level(path: str):
-    """Function from texts to id lists, and the bytes of each id."""
+    """Function from texts to id lists, and the bytes of each id.
+
+    Where ids are in the order of the merges, texts of ASCII and Latin letters go to a faster
+    encoder over the same vocabulary, merges and pattern; all others to the tokenizer itself.
+    """
+    import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    import tiktoken
     from tokenizers import Tokenizer
 
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     of = byte_level_bytes()
     raw = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():
         raw[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    in_order = [model["vocab"][m] for m in merged] == list(range(256, 256 + len(merged)))
+    fast = None
+    if in_order:
+        ranks = {raw[i]: i for i in range(256 + len(merged))}
+        fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts):
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [
+            fast.encode_ordinary(t) if fast and _LATIN.fullmatch(t) else tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids
+            for t in texts
+        ]
 
     return encode, raw
 
@@ -182,6 +205,47 @@ def load_pieces(path: str):
     return (lambda texts: model.encode(texts, num_threads=1)), raw
 
 
+class Cache:
+    """Parts and what is known of them; when full, only parts that come again are taken over."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, None
+        self._clear()
+
+    def _clear(self) -> None:
+        import numpy as np
+
+        self.where: dict[str, int] = {}
+        self.words: list[str] = []
+        self.pairs: list[bytes] = []
+        self.counts = np.zeros((self.size, 5), np.int32)
+
+    def reserve(self, n: int) -> None:
+        """Room for ``n`` more; indices from before a call are void after it."""
+        if len(self.words) + n > self.size:
+            self.old = (self.where, self.words, self.pairs, self.counts)
+            self.size = max(CACHE, n)
+            self._clear()
+
+    def add(self, parts: list[str], counts, words: list[str], pairs: list[bytes]) -> None:
+        at = len(self.words)
+        self.where.update(zip(parts, range(at, at + len(parts)), strict=True))
+        self.counts[at : at + len(parts)] = counts
+        self.words += words
+        self.pairs += pairs
+
+    def take_over(self, parts: list[str]) -> list[str]:
+        """Those of ``parts`` that are not known from before either."""
+        if self.old is None:
+            return parts
+        where, words, pairs, counts = self.old
+        places = list(map(where.get, parts))
+        found = [k for k in places if k is not None]
+        again = [p for p, k in zip(parts, places, strict=True) if k is not None]
+        self.add(again, counts[found], [words[k] for k in found], [pairs[k] for k in found])
+        return [p for p, k in zip(parts, places, strict=True) if k is None]
+
+
 def make_aligner(a_path: str, b_path: str):
     """Function from texts to (n_a, n_b, groups, links, shared-group links, groups text, links).
 
@@ -195,72 +259,89 @@ def make_aligner(a_path: str, b_path: str):
     sizes_a, sizes_b = (np.array(list(map(len, raw)), np.int64) for raw in (bytes_a, bytes_b))
     names = np.array([str(i) for i in range(max(len(bytes_a), len(bytes_b)))], object)
     marked = [names, names + ",", names + "|", names + ";"]
-    cache: dict[str, tuple] = {}
-
-    def learn(parts: list[str]) -> dict[str, tuple]:
-        ids_a, ids_b = encode_a([" " + p for p in parts]), encode_b(parts)
-        whole = []
-        found: dict[str, tuple] = {}
-        for i, part in enumerate(parts):
-            raw = b" " + part.encode()
-            same = b"".join([bytes_a[t] for t in ids_a[i]]) == raw and b"".join([bytes_b[t] for t in ids_b[i]]) == raw
-            if same:
-                whole.append(i)
-            else:
-                found[part] = ()
-        if not whole:
-            return found
-        a, b = (np.concatenate([np.array(ids[i], np.int64) for i in whole]) for ids in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(ids[i]) for i in whole]) for ids in (ids_a, ids_b))
+    cache = Cache(CACHE)
+
+    def tokens(text: str):
+        """Ids of both sides, or None if they do not give back the text behind a space."""
+        ids_a, ids_b = encode_a([" " + text])[0], encode_b([text])[0]
+        raw = b" " + text.encode()
+        if b"".join([bytes_a[t] for t in ids_a]) != raw or b"".join([bytes_b[t] for t in ids_b]) != raw:
+            return None
+        return np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+
+    def learn(parts: list[str]) -> None:
+        """Add parts to the cache; the counts of a part without tokens are -1."""
+        parts = sorted(parts, key=lambda p: _LATIN.fullmatch(p) is None)
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            # Parts meet at single spaces, where both sides cut, as they do in the texts.
+            whole = tokens(" ".join(some)) if len(some) > 1 and not any(p[0].isspace() or p[-1].isspace() for p in some if p) and all(some) else None
+            if whole is not None:
+                add(some, *whole)
+                continue
+            for part in some:
+                whole = tokens(part)
+                if whole is None:
+                    cache.add([part], -1, [""], [b""])
+                else:
+                    add([part], *whole)
+
+    def add(parts: list[str], a, b) -> None:
         linked = align(sizes_a[a], sizes_b[b])
+        raw_ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        # Cuts, and tokens of either side, up to the end of each part.
+        group_ends = np.searchsorted(linked.cuts, raw_ends, "right")
+        a_ends = np.searchsorted(linked.group_a, group_ends, "left")
+        b_ends = np.searchsorted(linked.group_b, group_ends, "left")
+        if (linked.cuts[group_ends - 1] != raw_ends).any():
+            raise ValueError("a token goes on behind a single space")
         # Tokens of both sides by group, then side.
         key = np.concatenate((linked.group_a * 2, linked.group_b * 2 + 1))
         order = np.argsort(key, kind="stable")
         key = key[order]
-        gap = np.where(key[1:] == key[:-1], 1, np.where(key[1:] >> 1 == key[:-1] >> 1, 2, 3))
-        ends = np.cumsum(n_a + n_b)
-        gap = np.concatenate((gap, [0]))
+        ends = a_ends + b_ends
+        gap = np.concatenate((np.where(key[1:] == key[:-1], 1, np.where(key[1:] >> 1 == key[:-1] >> 1, 2, 3)), [0]))
         gap[ends - 1] = 0
         ids = np.concatenate((a, b))[order]
         text = np.empty(len(ids), object)
         for mark in range(4):
-            text[gap == mark] = marked[mark][ids[gap == mark]]
+            of = gap == mark
+            text[of] = marked[mark][ids[of]]
         text = text.tolist()
-        pairs = a[linked.a] << 32 | b[linked.b]
-        last_a = np.cumsum(n_a) - 1
-        n_groups = np.diff(linked.group_a[last_a], prepend=-1)
-        links_end = np.searchsorted(linked.a, last_a, "right")
-        n_links = np.diff(links_end, prepend=0)
-        shared = np.concatenate(([0], np.cumsum(linked.group_link_counts())))
-        n_shared = np.diff(shared[last_a + 1], prepend=0)
-        figures = zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), n_shared.tolist(), ends.tolist(), links_end.tolist(), strict=True)
-        for i, (one_a, one_b, groups, links, shares, end, link_end) in zip(whole, figures, strict=True):
-            words = "".join(text[end - one_a - one_b : end])
-            found[parts[i]] = (one_a, one_b, groups, links, shares, words, pairs[link_end - links : link_end].tobytes())
-        return found
+        pairs = (a[linked.a] << 32 | b[linked.b]).tobytes()
+        link_ends = np.searchsorted(linked.a, a_ends, "left")
+        shared = np.concatenate(([0], np.cumsum(linked.group_link_counts())))[a_ends]
+        counts = np.diff(np.stack((a_ends, b_ends, group_ends, link_ends, shared)), prepend=0).T
+        ends, link_ends = [0, *ends.tolist()], [0, *(8 * link_ends).tolist()]
+        words = ["".join(text[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+        cache.add(parts, counts, words, [pairs[i:j] for i, j in zip(link_ends, link_ends[1:], strict=False)])
 
     def of_texts(texts):
         out = []
         for at in range(0, len(texts), GROUP):
             group = [_CUT.split(t) if t else [] for t in texts[at : at + GROUP]]
-            missing = list({p for parts in group for p in parts if p not in cache})
-            if len(cache) + len(missing) > CACHE:
-                cache.clear()
-                missing = list({p for parts in group for p in parts})
-            held, size, begin = {}, 0, 0
-            for i, part in enumerate(missing):
-                size += len(part)
-                if size > SLAB or i + 1 == len(missing):
-                    held |= learn(missing[begin : i + 1])
-                    size, begin = 0, i + 1
-            cache.update((p, v) for p, v in held.items() if len(p) <= CACHED_CHARS)
-            for parts in group:
-                each = [held[p] if p in held else cache[p] for p in parts]
-                if not each or () in each:
+            known = [list(map(cache.where.get, parts)) for parts in group]
+            missing = list({p for parts, found in zip(group, known, strict=True) if None in found for p, k in zip(parts, found, strict=True) if k is None})
+            if missing:
+                before = cache.where
+                cache.reserve(len(missing))
+                if cache.where is not before:
+                    # The cache begins anew: all parts of this group have to come over.
+                    missing = list({p for parts in group for p in parts})
+                    cache.reserve(len(missing))
+                learn(cache.take_over(missing))
+                known = [list(map(cache.where.get, parts)) for parts in group]
+            words, pairs = cache.words.__getitem__, cache.pairs.__getitem__
+            for found in known:
+                counts = cache.counts[np.array(found, np.int64)]
+                if not found or counts[:, 0].min() < 0:
                     out.append(None)
                     continue
-                *counts, words, pairs = zip(*each, strict=True)
-                out.append((*map(sum, counts), ";".join(words), b"".join(pairs)))
+                out.append((*counts.sum(axis=0, dtype=np.int64).tolist(), ";".join(map(words, found)), b"".join(map(pairs, found))))
+            for p in missing:
+                if len(p) > CACHED_CHARS:
+                    k = cache.where.pop(p)
+                    cache.words[k], cache.pairs[k] = "", b""
         return out
 
     return of_texts
@@ -290,6 +371,10 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
         def each(batch):
             ids, texts = columns(batch, "doc_id", "text")
+            for low, high in slabs(texts, BATCH_CHARS):
+                yield results(ids[low:high], texts[low:high])
+
+        def results(ids, texts):
             figures, groups, pairs, times, sizes = [], [], [], [], [0]
             for one in aligned(texts):
                 figures.append(one[:5] if one else (0,) * 5)
@@ -302,7 +387,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32()))]
             counts = [pa.array(c, pa.int64()) for c in zip(*figures, strict=True)]
             names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared", "groups", "pairs", "times"]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *counts, pa.array(groups), *lists], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *counts, pa.array(groups), *lists], names=names)
 
         return each
 
