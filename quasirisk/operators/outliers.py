@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quasirisk.plans.keys import clean, col, require_columns
-from quasirisk.plans.materialize import Measured, materialize, materialize_measured
-from quasirisk.plans.quantile import percentiles_of_counts, value_counts
+from quasirisk.plans.materialize import Measured
+from quasirisk.plans.quantile import select_ranks, value_counts
 
 # Consistency constant of the MAD, default threshold, fewest values tested.
 MAD_SCALE = 0.6745
@@ -15,56 +17,50 @@ DEFAULT_K = 2.2414
 MIN_VALUES = 5
 
 
-def _series(counts: Measured, zero_fallback: bool) -> Measured:
-    """Value counts by series: 0 = all values, 1 = non-zero values, where they may be needed."""
-    if not zero_fallback:
-        return Measured(counts.table.withColumn("series", F.lit(0)), counts.rows, counts.bytes)
-    both = F.when(F.col("x") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    return Measured(counts.table.withColumn("series", F.explode(both)), 2 * counts.rows, 2 * counts.bytes)
-
-
-def _by_series(figures: DataFrame, column: str) -> Column:
-    """The figure of a row's series, looked up in a map with one entry per series."""
-    entries = F.map_from_entries(F.collect_list(F.struct("series", column)))
-    return F.element_at(figures.agg(entries).scalar(), F.col("series"))
-
-
-def _robust_scale(counts: Measured, zero_fallback: bool) -> DataFrame:
-    """At most one row: the series to test with its median, quartiles and MAD."""
-    series = _series(counts, zero_fallback)
-    quartiles = percentiles_of_counts(series, [0.25, 0.5, 0.75], ["series"])
-    spread = materialize(quartiles.select(
-        "series", F.col("total").alias("rows"), F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3")
-    ))
-    # At most two rows, one per series, from here on.
-    median = _by_series(spread, "median")
-    # An infinite value is infinitely far from an infinite median only if they differ.
-    distance = F.when(F.col("x") == median, F.lit(0.0)).otherwise(F.abs(F.col("x") - median))
-    away = series.table.select("series", distance.alias("x"), "n").groupBy("series", "x").agg(F.sum("n").alias("n"))
-    mads = percentiles_of_counts(materialize_measured(away), [0.5], ["series"])
-    scales = spread.withColumn("mad", _by_series(mads, "p0"))
-    fields = F.struct("series", "rows", "q1", "median", "q3", "mad")
-    both = scales.agg(
-        F.max(F.when(F.col("series") == 0, fields)).alias("all"),
-        F.max(F.when(F.col("series") == 1, fields)).alias("nonzero"),
-    )
-    enough_all = F.col("all.rows") >= MIN_VALUES
-    if not zero_fallback:
-        return both.where(enough_all).select("all.*")
-    usable = (F.col("nonzero.rows") >= MIN_VALUES) & (F.col("nonzero.mad") > 0)
-    chosen = F.when(F.col("all.mad") > 0, F.col("all")).when(usable, F.col("nonzero"))
-    return both.where(enough_all).select(chosen.alias("c")).where("c is not null").select("c.*")
+@dataclass(frozen=True)
+class Scale:
+    """Figures of the values that are tested: all of them, or the non-zero ones."""
+
+    nonzero: bool
+    rows: int
+    q1: float
+    median: float
+    q3: float
+    mad: float
+
 
+def _figures(values: DataFrame, nonzero: bool) -> Scale | None:
+    """Quartiles and MAD of rows (x, n); two selections, without shuffling values."""
+    values = values.where("x <> 0") if nonzero else values
+    for rows, (q1, median, q3) in select_ranks(values, [0.25, 0.5, 0.75]).values():
+        if rows < MIN_VALUES:
+            return None
+        # An infinite value is infinitely far from an infinite median only if they differ.
+        distance = F.when(F.col("x") == median, F.lit(0.0)).otherwise(F.abs(F.col("x") - median))
+        mads = select_ranks(values.select(distance.alias("x"), "n"), [0.5])
+        return Scale(nonzero, rows, q1, median, q3, mads[()][1][0])
+    return None
 
-def _z(value: Column, scale: Column) -> Column:
+
+def _robust_scale(counts: Measured, zero_fallback: bool) -> Scale | None:
+    """The scale to test with; the non-zero values are looked at only if the MAD is zero."""
+    scale = _figures(counts.table, nonzero=False)
+    if scale is None or scale.mad > 0 or not zero_fallback:
+        return scale
+    scale = _figures(counts.table, nonzero=True)
+    return scale if scale is not None and scale.mad > 0 else None
+
+
+def _z(value: Column, scale: Scale) -> Column:
     """Robust z-score.  A zero MAD puts every other value infinitely far away."""
-    away = value - scale["median"]
-    infinite = F.when(away != 0, F.signum(away) * F.lit(float("inf")))
-    return F.when(scale["mad"] == 0, infinite).otherwise(away / (scale["mad"] / MAD_SCALE))
+    away = value - F.lit(scale.median)
+    if scale.mad == 0:
+        return F.when(away != 0, F.signum(away) * F.lit(float("inf")))
+    return away / F.lit(scale.mad / MAD_SCALE)
 
 
-def _tested(value: Column, scale: Column) -> Column:
-    return value.isNotNull() & scale.isNotNull() & ((scale["series"] == 0) | (value != 0))
+def _tested(value: Column, scale: Scale) -> Column:
+    return value.isNotNull() & (value != 0 if scale.nonzero else F.lit(True))
 
 
 def mad_outliers(
@@ -83,11 +79,12 @@ def mad_outliers(
     """
     require_columns(df, [column])
     require_columns(df, [row_id])
-    row = _robust_scale(value_counts(df, column), zero_fallback)
-    scale = row.select(F.struct(*row.columns)).scalar()
-    values = df.select(col(row_id), clean(df, column).cast("double").alias("value")).withColumn("_scale", scale)
-    z = _z(F.col("value"), F.col("_scale"))
-    out = values.where(_tested(F.col("value"), F.col("_scale"))).select(col(row_id), "value", z.alias("z_score"))
+    scale = _robust_scale(value_counts(df, column), zero_fallback)
+    values = df.select(col(row_id), clean(df, column).cast("double").alias("value"))
+    if scale is None:
+        return values.where(F.lit(False)).withColumn("z_score", F.lit(None).cast("double"))
+    z = _z(F.col("value"), scale)
+    out = values.where(_tested(F.col("value"), scale)).select(col(row_id), "value", z.alias("z_score"))
     distance = F.abs("z_score") if two_sided else F.col("z_score")
     return out.where(distance > k)
 
@@ -102,15 +99,14 @@ def boxplot_statistics(
     """
     require_columns(df, [column])
     counts = value_counts(df, column)
-    row = _robust_scale(counts, zero_fallback)
-    scale = row.select(F.struct(*row.columns)).scalar()
-    s = F.col("s")
-    kept = counts.table.withColumn("s", scale).where(_tested(F.col("x"), s))
-    z = _z(F.col("x"), s)
-    quarter = lambda q: _z(s[q], s)
+    scale = _robust_scale(counts, zero_fallback)
+    kept = counts.table.where(F.lit(False)) if scale is None else counts.table.where(_tested(F.col("x"), scale))
+    scale = scale or Scale(False, 0, 0.0, 0.0, 0.0, 1.0)
+    quarter = lambda q: _z(F.lit(q), scale)
     kept = kept.select(
-        "n", z.alias("z"), quarter("q1").alias("q1"), quarter("median").alias("median"), quarter("q3").alias("q3")
-    )
+        "n", _z(F.col("x"), scale).alias("z"), quarter(scale.q1).alias("q1"), quarter(scale.median).alias("median"),
+        quarter(scale.q3).alias("q3"),
+    )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     low_in, high_in = F.col("z") >= F.col("q1") - reach, F.col("z") <= F.col("q3") + reach
     beyond = F.sum(F.when(low_in & high_in, F.lit(0)).otherwise(F.col("n")))

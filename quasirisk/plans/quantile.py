@@ -1,26 +1,27 @@
 """Exact percentiles of a column of any size, with frequency weights.
 
-Distinct values with their weights are counted once and kept.  Each wanted rank lies in a
-range of values, at first all of a group's.  While such a range has more than a bounded
-number of distinct values, it is cut by range partitioning, each part reports its bounds
-and weight, and the running totals over the parts say which one holds the rank.  Ranges are
-kept by their value bounds, not by partition number, so the answer is the same however Spark
-cuts them.  Only the values of the last, small range are ranked.
+Selection by histograms: one combinable aggregate counts the weight below each power of two
+(and sign), the driver picks the bucket that holds each wanted rank, and the next aggregate
+splits just those buckets into equal parts, until few values are left, which are ranked.
+Values in one bucket share their exponent, so 52 bits of fraction need at most five more
+passes.  A pass shuffles bucket sums, never values, however many there are; the driver
+receives at most BUCKETS rows for each group and rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from math import ceil, floor, inf
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quasirisk.plans.keys import clean, col
 from quasirisk.plans.materialize import Measured, materialize_measured
 
-# Distinct values that one task may rank.
-RANKED_VALUES = 200_000
+# Parts a range is split into, and values of a range that the driver ranks.
+BUCKETS = 4096
+RANKED_VALUES = 1024
 
 
 def value_counts(df: DataFrame, value: str, weight: str | None = None, by: Sequence[str] = ()) -> Measured:
@@ -35,52 +36,88 @@ def value_counts(df: DataFrame, value: str, weight: str | None = None, by: Seque
     return materialize_measured(counts)
 
 
-def _first_ranges(counts: DataFrame, fractions: Sequence[float], by: list[str]) -> DataFrame:
-    """One row per group and fraction: the wanted ranks and the range of all values."""
-    wanted = ", ".join(f"named_struct('f', {i}, 'fraction', {float(p)!r}D)" for i, p in enumerate(fractions))
-    groups = counts.groupBy(*by).agg(
-        F.sum("n").alias("total"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("cells")
-    )
-    position = F.col("w.fraction") * (F.col("total") - 1)
-    return groups.where(F.col("total").isNotNull()).withColumn("w", F.explode(F.expr(f"array({wanted})"))).select(
-        *by, F.col("w.f").alias("f"), "total", position.alias("position"), F.floor(position).alias("low_rank"),
-        F.ceil(position).alias("high_rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), "cells",
-    )
-
-
-def _inside(counts: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
-    """The values of each range, with the range's fields."""
-    # One entry per group and fraction, so the list is bounded by the call.
-    listed = ranges.agg(F.collect_list(F.struct(*ranges.columns))).scalar()
-    here = lambda p: reduce(
-        lambda all_of, b: all_of & (p[b] == F.col(b)), by, (p["lo"] <= F.col("x")) & (F.col("x") <= p["hi"])
-    )
-    found = counts.withColumn("ranges", listed).withColumn("p", F.explode(F.filter("ranges", here)))
-    return found.select(*by, "x", "n", *[F.col(f"p.{c}").alias(c) for c in ranges.columns if c not in by])
-
-
-def _cut(counts: DataFrame, ranges: DataFrame, by: list[str], parts: int) -> DataFrame:
-    """The part of each range that holds its wanted ranks."""
-    fixed = [*by, "f", "total", "position", "low_rank", "high_rank", "before"]
-    cut = (
-        _inside(counts, ranges, by)
-        .repartitionByRange(parts, *by, "f", "x")
-        .withColumn("_part", F.spark_partition_id())
-        .groupBy("_part", *fixed)
-        .agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("cells"))
+def _octave(x: Column) -> Column:
+    """A number that never falls as x rises: sign and power of two.
+
+    The logarithm need not be exact at powers of two, only monotone, which it is.
+    """
+    power = F.when(F.abs(x) == inf, F.lit(4000)).otherwise(F.floor(F.log2(F.abs(x))) + 2000)
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * power).cast("long")
+
+
+def _split(low: Column, high: Column, x: Column) -> Column:
+    """Which of BUCKETS equal parts of [low, high] holds x; subtraction and division are monotone."""
+    part = F.floor((x - low) / (high - low) * BUCKETS)
+    return F.when((low == high) | (x == high), F.lit(BUCKETS - 1)).otherwise(F.least(part, F.lit(BUCKETS - 1))).cast("long")
+
+
+def _histogram(rows: DataFrame, bucket: Column, keys: list[str]) -> list:
+    """Weight, rows and bounds of each bucket, in order."""
+    counted = rows.groupBy(*keys, bucket.alias("bucket")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
-    # This window runs over one row per part, not over values.
-    upto = Window.partitionBy(*by, "f").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("before", F.col("before") + F.coalesce(F.sum("rows").over(upto), F.lit(0)))
-    holds = lambda rank: (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("rows"))
-    kept = cut.where(holds("low_rank") | holds("high_rank")).groupBy(*fixed[:-1])
-    return kept.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("before").alias("before"), F.sum("cells").alias("cells"))
+    return sorted(counted.collect(), key=lambda r: r["bucket"])
+
 
+def _inside(rows: DataFrame, ranges: list[tuple], by: list[str]) -> DataFrame:
+    """Rows of ranges (number, by.., lo, hi), which do not overlap, with the number and the bounds."""
+    group = [rows.schema[b] for b in by]
+    fields = ["range int", *[f"`{f.name}_` {f.dataType.simpleString()}" for f in group], "range_lo double", "range_hi double"]
+    # At most two ranges for each group and fraction.
+    wanted = F.broadcast(rows.sparkSession.createDataFrame(ranges, ", ".join(fields)))
+    here = (F.col("range_lo") <= F.col("x")) & (F.col("x") <= F.col("range_hi"))
+    for f in group:
+        here = col(f.name).eqNullSafe(col(f"{f.name}_")) & here
+    return rows.join(wanted, here)
 
-def _between(low: Column, high: Column, share: Column) -> Column:
-    """Linear interpolation; equal or infinite ends stand for themselves."""
-    flat = (low == high) | (F.abs(low) == float("inf"))
-    return F.when(flat, low).otherwise(low + (high - low) * share)
+
+def _value_at(histogram: list, before: int, rank: int):
+    """The bucket that holds the rank, and the weight below it."""
+    for r in histogram:
+        if rank < before + r["n"]:
+            return r, before
+        before += r["n"]
+    raise ValueError("rank beyond the histogram")
+
+
+def select_ranks(rows: DataFrame, fractions: Sequence[float], by: Sequence[str] = ()) -> dict[tuple, tuple[int, list[float]]]:
+    """Total weight and percentiles of each ``by`` group of rows (by.., x, n), x not NULL.
+
+    ``by`` must name few groups, such as the columns of a table.  Rows may repeat a value.
+    Read once per pass: pass a stored table, or a projection of one.
+    """
+    by = list(by)
+    groups: dict[tuple, list] = {}
+    for r in _histogram(rows, _octave(F.col("x")), by):
+        groups.setdefault(tuple(r[b] for b in by), []).append(r)
+    totals = {g: sum(r["n"] for r in h) for g, h in groups.items()}
+    ranks = {g: sorted({k for p in fractions for k in (floor(p * (t - 1)), ceil(p * (t - 1)))}) for g, t in totals.items()}
+    # The range each (group, rank) lies in, with the weight before it.
+    places = {(g, k): _value_at(groups[g], 0, k) for g, ks in ranks.items() for k in ks}
+    values: dict[tuple, float] = {}
+    while True:
+        values |= {key: r["lo"] for key, (r, _) in places.items() if r["lo"] == r["hi"]}
+        places = {key: place for key, place in places.items() if key not in values}
+        if not places:
+            break
+        ranges = {key[0] + (r["lo"], r["hi"]): None for key, (r, _) in places.items()}
+        ranges = {key: i for i, key in enumerate(ranges)}
+        found = _inside(rows, [(i, *key) for key, i in ranges.items()], by)
+        last = max(r["cells"] for r, _ in places.values()) <= RANKED_VALUES
+        bucket = F.col("x") if last else _split(F.col("range_lo"), F.col("range_hi"), F.col("x"))
+        parts: dict[int, list] = {}
+        for r in _histogram(found, bucket, ["range"]):
+            parts.setdefault(r["range"], []).append(r)
+        places = {
+            key: _value_at(parts[ranges[key[0] + (r["lo"], r["hi"])]], before, key[1]) for key, (r, before) in places.items()
+        }
+
+    def percentile(g: tuple, position: float) -> float:
+        low, high = values[g, floor(position)], values[g, ceil(position)]
+        # Equal or infinite ends stand for themselves.
+        return low if low == high or abs(low) == inf else low + (high - low) * (position - floor(position))
+
+    return {g: (t, [percentile(g, p * (t - 1)) for p in fractions]) for g, t in totals.items()}
 
 
 def percentiles_of_counts(counts: Measured, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -89,25 +126,11 @@ def percentiles_of_counts(counts: Measured, fractions: Sequence[float], by: Sequ
     One row per ``by`` group (``by`` must name few groups, such as the columns of a table);
     none for an empty group.
     """
-    by = list(by)
-    ranges = _first_ranges(counts.table, fractions, by)
-    largest = counts.rows
-    while largest > RANKED_VALUES:
-        parts = -(-2 * largest * len(fractions) // RANKED_VALUES)
-        cut = _cut(counts.table, ranges, by, parts)
-        rows = cut.collect()  # one per group and fraction
-        ranges = counts.table.sparkSession.createDataFrame(rows, cut.schema)
-        largest = max((r["cells"] for r in rows), default=0)
-    running = Window.partitionBy(*by, "f").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = _inside(counts.table, ranges, by).withColumn("seen", F.col("before") + F.sum("n").over(running))
-    value_at = lambda rank: F.min(F.when(F.col("seen") > F.col(rank), F.col("x")))
-    points = ranked.groupBy(*by, "f", "total", "position", "low_rank").agg(
-        value_at("low_rank").alias("low"), value_at("high_rank").alias("high")
-    )
-    value = _between(F.col("low"), F.col("high"), F.col("position") - F.col("low_rank"))
-    return points.groupBy(*by, "total").agg(
-        *[F.max(F.when(F.col("f") == i, value)).alias(f"p{i}") for i in range(len(fractions))]
-    )
+    table = counts.table
+    found = [(*g, total, *points) for g, (total, points) in select_ranks(table, fractions, by).items()]
+    fields = [f"`{b}` {table.schema[b].dataType.simpleString()}" for b in by]
+    fields += ["total long", *[f"p{i} double" for i in range(len(fractions))]]
+    return table.sparkSession.createDataFrame(found, ", ".join(fields))
 
 
 def exact_percentiles(

@@ -104,9 +104,27 @@ def test_percentiles_with_infinities(spark, monkeypatch, ranked):
 
 def test_ranked_range_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(quantile, "RANKED_VALUES", 50)
+    monkeypatch.setattr(quantile, "BUCKETS", 16)
     seen = []
     original = quantile._inside
     monkeypatch.setattr(quantile, "_inside", lambda counts, ranges, by: seen.append(ranges) or original(counts, ranges, by))
     df = spark.range(3000).selectExpr("id", "CAST(id * id AS double) AS v")
     assert exact_percentiles(df, "v", [0.5]).first()["p0"] == pytest.approx((1499.0**2 + 1500.0**2) / 2)
-    assert max(r["cells"] for r in seen[-1].collect()) <= 50
+    assert all(0 < df.where(f"v BETWEEN {low!r} AND {high!r}").count() <= 50 for _, low, high in seen[-1])
+
+
+def test_selection_takes_few_passes_whatever_the_values(spark, monkeypatch):
+    passes = []
+    original = quantile._histogram
+    monkeypatch.setattr(quantile, "_histogram", lambda *args: passes.append(1) or original(*args))
+    values = [(-1.0) ** k * 2.0 ** (k - 600) * (1 + k * 2.0**-50) for k in range(1200)] + [1 + k * 2.0**-52 for k in range(3000)]
+    values += [float("inf"), float("-inf"), 0.0, -0.0, 5e-324, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    fractions = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = exact_percentiles(df, "v", fractions).first()
+    ordered = sorted(values)
+    for i, p in enumerate(fractions):
+        low, share = divmod(p * (len(values) - 1), 1)
+        a, b = ordered[int(low)], ordered[min(int(low) + 1, len(values) - 1)]
+        assert got[f"p{i}"] == (a if a == b or share == 0 or abs(a) == float("inf") else a + (b - a) * share)
+    assert len(passes) <= 7
