@@ -58,10 +58,10 @@ def write_suda_records(records: DataFrame, row_id: str, path: str) -> str:
 
 
 def write_contributions(contributions: DataFrame, path: str, qi: Sequence[str]) -> str:
-    """Attribute contributions, largest first; the index is the column's place among the QIs."""
+    """Attribute contributions in QI order; the index is the column's place among the QIs."""
     place = F.array_position(F.array(*[F.lit(c) for c in qi]), F.col("variable")) - 1
     table = contributions.select(place.alias("index"), "variable", "contribution")
-    return write_csv(table.orderBy(F.desc("contribution"), "index"), path)
+    return write_csv(table.orderBy("index"), path)
 
 
 def write_influence(influence: DataFrame, path: str) -> str:
