@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quasirisk.functions.rounding import python_round
+from quasirisk.operators.search import DENSE_COLUMNS, uniques_by_set
 from quasirisk.plans.keys import collapse, key_names, require_columns, require_mask_width
-from quasirisk.plans.lattice import subset_masks, subset_name, subset_statistics
+from quasirisk.plans.lattice import subset_masks, subset_statistics
 from quasirisk.plans.materialize import materialize
 
+# Up to this many subsets are counted one by one; beyond, from the minimal sets of the records.
+LATTICE_SUBSETS = 255
+
 
 def column_influence(df: DataFrame, qi: Sequence[str], weight: str | None = None) -> DataFrame:
     """Uniques lost when one column is left out, also per distinct value of that column.
@@ -49,6 +54,26 @@ def column_influence(df: DataFrame, qi: Sequence[str], weight: str | None = None
     return out.withColumn("ratio", ratio).withColumn("normalized_difference", python_round(F.col("ratio"), 1))
 
 
+def subset_table(spark: SparkSession, qi: Sequence[str], min_size: int, max_size: int) -> DataFrame:
+    """combination, size, mask, rest of all subsets of the given sizes, made in parallel.
+
+    Sets grow by one later column at a time, so nothing but wanted sets and their beginnings
+    is made, and the driver lists none.
+    """
+    m, full = len(qi), (1 << len(qi)) - 1
+    bits = [1 << i for i in range(m)]
+    grown = spark.range(1).select(F.lit(0).cast("long").alias("mask"))
+    kept = None
+    for size in range(1, min(max_size, m) + 1):
+        later = F.filter(F.array(*[F.lit(b).cast("long") for b in bits]), lambda b: b > F.col("mask"))
+        grown = grown.withColumn("bit", F.explode(later)).select((F.col("mask") + F.col("bit")).alias("mask"))
+        if size >= min_size:
+            level = grown.withColumn("size", F.lit(size))
+            kept = level if kept is None else kept.union(level)
+    names = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(b).cast("long")) != 0, F.lit(c)) for b, c in zip(bits, qi)])
+    return kept.select(F.array_join(F.filter(names, lambda c: c.isNotNull()), ", ").alias("combination"), "size", "mask", (F.lit(full).cast("long") - F.col("mask")).alias("rest"))
+
+
 def combination_contribution(
     df: DataFrame, qi: Sequence[str], min_size: int = 3, max_size: int = 7, weight: str | None = None
 ) -> DataFrame:
@@ -62,16 +87,19 @@ def combination_contribution(
     m = require_mask_width(qi)
     if min_size < 1 or max_size < min_size:
         raise ValueError("Sizes must satisfy 1 <= min_size <= max_size.")
-    full = (1 << m) - 1
-    wanted = subset_masks(m, min_size, max_size)
-    if not wanted:
+    if min_size > m:
         raise ValueError("min_size exceeds the number of columns.")
-    masks = sorted(({full} | set(wanted) | {full ^ s for s in wanted}) - {0})
-    # One row per subset, whatever the size of the data; a subset without rows has none.
-    stats = materialize(subset_statistics(collapse(df, qi, weight=weight), m, masks, drop_nulls=True))
-    subsets = df.sparkSession.createDataFrame(
-        [(subset_name(s, qi), s.bit_count(), s, full ^ s) for s in wanted], "combination string, size int, mask long, rest long"
-    )
+    full = (1 << m) - 1
+    count = sum(math.comb(m, size) for size in range(min_size, min(max_size, m) + 1))
+    base = collapse(df, qi, weight=weight)
+    # One row per subset, whatever the size of the data; a subset without uniques may have none.
+    if count > LATTICE_SUBSETS and m <= DENSE_COLUMNS:
+        stats = materialize(uniques_by_set(base, m, drop_nulls=True))
+    else:
+        wanted = subset_masks(m, min_size, max_size)
+        masks = sorted(({full} | set(wanted) | {full ^ s for s in wanted}) - {0})
+        stats = materialize(subset_statistics(base, m, masks, drop_nulls=True))
+    subsets = subset_table(df.sparkSession, qi, min_size, max_size)
     uniques = lambda name: stats.select(F.col("mask").alias(name), F.col("uniques").alias(f"of_{name}"))
     zero = F.lit(0).cast("long")
     out = subsets.join(uniques("mask"), "mask", "left").join(uniques("rest"), "rest", "left").select(

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from quasirisk.functions.rounding import python_round
 from quasirisk.operators.encode import category_codes, encoded_rows, string_columns
+from quasirisk.operators.search import minimal_sets
 from quasirisk.plans.keys import bits_where, col, collapse, key_names, may_equal, require_columns, require_mask_width
-from quasirisk.plans.lattice import cells, mask_array, subset_cells, subset_masks
+from quasirisk.plans.lattice import subset_cells, subset_masks
 from quasirisk.plans.lookup import attach_unique
 from quasirisk.plans.materialize import Measured, materialize, materialize_measured
 
-# Up to this many subsets are counted together; beyond, level by level with pruning.
+# Up to this many subsets are counted together; beyond, classes are refined recursively.
 ONE_PASS_SUBSETS = 127
 
 
@@ -81,19 +82,7 @@ def special_uniques(
         found = uniques(subset_cells(base, m, subset_masks(m, 1, top), blocked, with_id=True))
         return materialize_measured(found.select("rid", _minimal(F.col("found")).alias("msus")))
 
-    # A record unique on T is alone in its cell for every superset of T, so leaving it
-    # out there changes no other cell: each level counts only what is still open.
-    state = materialize(base.withColumn("blocked", blocked).withColumn("msus", F.array().cast("array<bigint>")))
-    for size in range(1, top + 1):
-        open_masks = F.filter(
-            F.col("wanted"),
-            lambda s: (s.bitwiseAND(F.col("blocked")) == 0) & ~F.exists(F.col("msus"), lambda y: s.bitwiseAND(y) == y),
-        )
-        listed = state.withColumn("wanted", mask_array(df.sparkSession, subset_masks(m, size, size)))
-        found = uniques(cells(listed.withColumn("mask", F.explode(open_masks)).drop("wanted"), m, with_id=True))
-        grown = F.concat("msus", F.coalesce(F.array_sort("found"), F.array().cast("array<bigint>")))
-        state = materialize(state.join(found, "rid", "left").withColumn("msus", grown).drop("found"))
-    return materialize_measured(state.where(F.size("msus") > 0).select("rid", "msus"))
+    return materialize_measured(minimal_sets(base, m, blocked, top))
 
 
 def msu_weights(m: int, max_size: int | None = None) -> list[float]:

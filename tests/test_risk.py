@@ -1,7 +1,10 @@
+from itertools import combinations
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+import quasirisk.operators.influence as influence
 from quasirisk import (
     attribute_contributions,
     collapse_table,
@@ -143,3 +146,27 @@ def test_collapsed_table_gives_the_same(spark):
     assert same(attribute_contributions(once, three, "id", **w), attribute_contributions(df, three, "id"))
     with pytest.raises(ValueError):
         collapse_table(once, ["group_rows"])
+
+
+def test_counts_from_minimal_sets_equal_the_lattice(spark, monkeypatch):
+    """All sets of eight columns, with NULLs, weights and repeated rows."""
+    sizes = (2, 3, 3, 4, 6, 9, 30, 200)
+    values = [f"IF(pmod(hash(id, {100 + i}), 13) = 0, NULL, pmod(hash(id, {i}), {n})) AS q{i}" for i, n in enumerate(sizes)]
+    df = spark.range(700).selectExpr(*values, "IF(id % 50 = 0, 2, 1) AS w").cache()
+    qi = [f"q{i}" for i in range(8)]
+    for low, high, weight in ((1, 8, None), (3, 7, "w"), (2, 2, None)):
+        got = []
+        for limit in (10**9, 0):
+            monkeypatch.setattr(influence, "LATTICE_SUBSETS", limit)
+            got.append(sorted(map(tuple, combination_contribution(df, qi, low, high, weight=weight).collect()), key=str))
+        assert got[0] == got[1] and any(r[2] for r in got[0])
+    assert combination_contribution(df.limit(0), qi, 3, 7).where("unique_rows > 0").count() == 0
+
+
+def test_subsets_are_listed_without_the_driver(spark):
+    listed = {(r["combination"], r["size"], r["mask"], r["rest"]) for r in influence.subset_table(spark, list("abcde"), 2, 4).collect()}
+    want = {
+        (", ".join(s), n, sum(1 << "abcde".index(c) for c in s), 31 - sum(1 << "abcde".index(c) for c in s))
+        for n in (2, 3, 4) for s in combinations("abcde", n)
+    }
+    assert listed == want

@@ -1,9 +1,11 @@
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given
 from pyspark.sql import functions as F
 
+import quasirisk.operators.search as search
 import quasirisk.operators.suda as suda
 import quasirisk.plans.lookup as lookup
 from quasirisk import (
@@ -53,7 +55,8 @@ def test_msus_against_definition(spark, rows):
     assert found_sets(df, qi, missing_nulls=True) == expected
 
 
-def test_level_by_level_agrees(spark, monkeypatch):
+@pytest.mark.parametrize("class_rows", [50_000, 6])
+def test_recursive_search_agrees(spark, monkeypatch, class_rows):
     rows = [(i, i % 2, i % 3, i % 5, i // 4, None if i % 7 == 0 else i % 4) for i in range(40)]
     df = spark.createDataFrame(rows, "id long, a long, b long, c long, d long, e long")
     qi = list("abcde")
@@ -62,10 +65,51 @@ def test_level_by_level_agrees(spark, monkeypatch):
     capped = {i: {s for s in sets if len(s) <= 2} for i, sets in expected.items()}
     capped = {i: s for i, s in capped.items() if s}
     monkeypatch.setattr(suda, "ONE_PASS_SUBSETS", 0)
+    monkeypatch.setattr(search, "CLASS_ROWS", class_rows)
     assert found_sets(df, qi) == expected
     assert found_sets(df, qi, max_size=2) == capped
 
 
+def ten_columns(spark, rows=1500):
+    """Ten columns of very different numbers of values, with NULLs and repeated rows."""
+    sizes = (2, 3, 3, 4, 5, 7, 11, 20, 60, 400)
+    values = [f"IF(pmod(hash(id, {100 + i}), 17) = 0, NULL, pmod(hash(id, {i}), {n})) AS q{i}" for i, n in enumerate(sizes)]
+    df = spark.range(rows).selectExpr("id", *values).withColumn("q3", F.col("q3").cast("string"))
+    return df.withColumn("q4", F.col("q4").cast("decimal(9,2)")).withColumn("q5", F.date_add(F.lit("2020-01-01"), F.col("q5")))
+
+
+@pytest.mark.parametrize(("class_rows", "task_rows"), [(50_000, 50_000), (100, 64), (1, 1)])
+def test_search_equals_the_lattice_on_ten_columns(spark, monkeypatch, class_rows, task_rows):
+    rows = 1500 if class_rows > 1 else 60
+    df, qi = ten_columns(spark, rows).cache(), [f"q{i}" for i in range(10 if rows > 60 else 6)]
+    monkeypatch.setattr(search, "CLASS_ROWS", class_rows)
+    monkeypatch.setattr(search, "TASK_ROWS", task_rows)
+    for nulls in (False, True):
+        got = {}
+        for limit in (10**9, 0):
+            monkeypatch.setattr(suda, "ONE_PASS_SUBSETS", limit)
+            found = suda.special_uniques(df, qi, "id", max_size=4 if rows > 60 else None, missing_nulls=nulls)
+            got[limit] = {r["rid"]: sorted(r["msus"]) for r in found.table.collect()}
+        assert got[0] == got[10**9] and got[0]
+
+
+def test_row_ids_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(suda, "ONE_PASS_SUBSETS", 0)
+    df = spark.createDataFrame([("x", 1, 1), ("y", 1, 2), ("z", 2, 2)], "id string, a int, b int")
+    assert found_sets(df, ["a", "b"]) == {"x": {("b",)}, "y": {("a", "b")}, "z": {("a",)}}
+    assert found_sets(df.limit(0), ["a", "b"]) == {}
+
+
+def test_minimal_masks(monkeypatch):
+    rng = np.random.default_rng(2)
+    for step in (1, 1 << 22):
+        monkeypatch.setattr(search, "COMPARED", step)
+        for _ in range(20):
+            masks = rng.integers(1, 1 << 9, int(rng.integers(1, 40)))
+            want = {int(s) for s in masks if not any(t != s and t & s == t for t in masks)}
+            assert set(search.minimal_masks(masks).tolist()) == want
+
+
 def test_missing_sentinel(spark):
     df = spark.createDataFrame([(0, -999, "x"), (1, 1, "x"), (2, 1, "y")], "id long, a long, b string")
     assert found_sets(df, ["a", "b"])[0] == {("a",)}
