@@ -28,6 +28,7 @@ from quasirisk.operators.mitigate import (
     suppress_rows,
 )
 from quasirisk.operators.outliers import boxplot_statistics, mad_outliers
+from quasirisk.operators.recode import compose_history, generalisation_levels, history_table, recode
 from quasirisk.operators.risk import collapse_table, k_anonymity, l_diversity, risk_summary, unique_rows
 from quasirisk.operators.suda import (
     attribute_contributions,
@@ -39,7 +40,7 @@ from quasirisk.operators.suda import (
     suda_record_table,
     suda_scores,
 )
-from quasirisk.plans.ids import with_row_id
+from quasirisk.plans.ids import with_content_key, with_row_id
 from quasirisk.session import build_session
 from quasirisk.sources.profile import by_distinct, columns_of_kind, profile
 from quasirisk.sources.tables import (

@@ -2,7 +2,8 @@
 
 With a row id the draws come from a hash of (seed, stream, row id): the same row gets the
 same noise whatever the partitioning, and a recomputed task repeats it.  Draws of different
-streams are independent; callers name one per column and step.  This perturbs
+streams are independent; callers name one per column and step.  Without a row id they come
+from the generator of the task, for streams.  This perturbs
 values; the scale is not tied to a sensitivity, so it is no differential-privacy
 guarantee.
 """

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from quasirisk.functions.noise import gaussian_noise, laplace_noise
 from quasirisk.functions.rounding import round_nearest, round_up, truncate
+from quasirisk.operators.recode import compose_history, history_table, recode
+from quasirisk.plans.ids import with_content_key
 from quasirisk.plans.keys import col, require_columns
 
 # column -> [(values, replacement), ...] in the order the combinations were made.
@@ -39,10 +41,12 @@ class AddNoise:
     """Add noise to a numeric column, which becomes a double.
 
     kind "laplacian" draws from Laplace(0, scale), any other kind from Normal(0, scale).
-    With a row_id the draws depend on (seed, column, step of the recipe, row id) only;
-    without one, also on how the rows happen to be partitioned.  Columns and steps get
-    independent draws; recipes applied to the same column one after the other need
-    different seeds.
+    With a row_id the draws depend on (seed, column, step of the recipe, row id) only.
+    Without one they depend on the row's content and its number among equal rows, so
+    neither another partitioning nor a repeated task changes them; that takes a shuffle of
+    the distinct rows.  On a stream, where equal rows cannot be counted, they come from the
+    generator of the task instead.  Columns and steps get independent draws; recipes applied
+    to the same column one after the other need different seeds.
     """
 
     column: str
@@ -53,10 +57,14 @@ class AddNoise:
 
     def apply(self, df: DataFrame, step: int = 0) -> DataFrame:
         _require_numeric(df, self.column)
-        row = col(self.row_id) if self.row_id else None
+        key, order = self.row_id, df.columns
+        if key is None and not df.isStreaming:
+            key = "_content"
+            df = with_content_key(df, key)
         draw = laplace_noise if self.kind == "laplacian" else gaussian_noise
-        noise = draw(self.seed, row, self.scale, f"{step}/{self.column}")
-        return df.withColumn(self.column, col(self.column).cast("double") + noise)
+        noise = draw(self.seed, col(key) if key else None, self.scale, f"{step}/{self.column}")
+        noisy = df.withColumn(self.column, col(self.column).cast("double") + noise)
+        return noisy.select(*[col(c) for c in order])
 
 
 @dataclass(frozen=True)
@@ -149,10 +157,7 @@ def _replace(text: Column, values: Sequence[str], replacement: str) -> Column:
 def _replay(df: DataFrame, history: Mapping[str, Sequence[tuple[Sequence[str], str]]]) -> DataFrame:
     for column, combinations in history.items():
         _require_text(df, column)
-        text = col(column)
-        for values, replacement in combinations:
-            text = _replace(text, values, replacement)
-        df = df.withColumn(column, text)
+        df = recode(df, column, compose_history(combinations))
     return df
 
 
@@ -163,7 +168,8 @@ def combine_values(
 
     The earlier history of all columns is replayed on the given table, the column's
     values are trimmed, and then everything including the new combination is replayed.
-    Values and replacement are trimmed of blanks and quotes.
+    Values and replacement are trimmed of blanks and quotes.  However long the history, each
+    row is looked up once before and once after trimming (``recode``).
     """
     _require_text(df, column)
     tidy = lambda v: v.strip().strip("'\"")
@@ -184,26 +190,15 @@ def generalisation_tree(
     replacement only.
     """
     require_columns(df, [column])
-    edges: list[tuple[str, str]] = []
-    combined: list[str] = []
-    for values, replacement in history.get(column, []):
-        edges.append((column, replacement))
-        edges.extend((replacement, v) for v in values)
-        combined.extend(values)
+    steps = history_table(df.sparkSession, history.get(column, []))
     text = col(column).cast("string")
     current = df.select(text.alias("child")).where(F.col("child").isNotNull()).distinct()
-    tree = current.select(F.lit(column).alias("parent"), "child")
-    if edges:
-        made = ", ".join(f"named_struct('parent', {_sql(p)}, 'child', {_sql(c)})" for p, c in edges)
-        source = df.sparkSession.range(1, numPartitions=1)
-        tree = tree.unionByName(source.select(F.explode(F.expr(f"array({made})")).alias("e")).select("e.*"))
-    if hide_combined and combined:
-        tree = tree.where((F.col("parent") != column) | ~F.col("child").isin(*combined))
-    return tree.distinct()
-
-
-def _sql(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    made = steps.select(F.col("replacement").alias("child"))
+    below = current.unionByName(made)
+    if hide_combined:
+        below = below.join(steps.select(F.col("value").alias("child")).distinct(), "child", "left_anti")
+    top = below.select(F.lit(column).alias("parent"), "child")
+    return top.unionByName(steps.select(F.col("replacement").alias("parent"), F.col("value").alias("child"))).distinct()
 
 
 def suppress_above(df: DataFrame, risk: str, threshold: float) -> DataFrame:

@@ -1,12 +1,17 @@
-"""Sequential row numbers without a global sort or a single-task window."""
+"""Row numbers and row keys without a global sort or a single-task window."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quasirisk.plans.keys import col
 
 # monotonically_increasing_id() keeps the position in the low 33 bits.
 POSITION_BITS = 33
+# Copies of one row that a task writes out at a time.
+COPIES = 100_000
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -32,3 +37,27 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
         .withColumn(name, F.col("_offset") + F.col("_pos"))
         .drop("_part", "_pos", "_offset")
     )
+
+
+def with_content_key(df: DataFrame, name: str = "content_key") -> DataFrame:
+    """The same rows with a number that depends on a row's content and its place among equal rows.
+
+    Equal rows are counted, which combines in the tasks, and written out again from the
+    count, so it does not matter where they were: repeated runs, other partitionings and
+    repeated tasks give the same pairs of row and key.  Counts above COPIES are written out
+    in pieces by several tasks.  -0.0 becomes 0.0.  Different rows share a key only if their
+    64-bit hashes collide.
+    """
+    if maps := [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]:
+        raise ValueError(f"Columns whose content has no order: {maps}. Give a row id.")
+    names = [col(c) for c in df.columns]
+    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    last = F.floor((F.col("_copies") - 1) / COPIES)
+    many = counted.where(F.col("_copies") > COPIES)
+    pieces = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_piece"))
+    pieces = pieces.repartition("_piece", *names)
+    few = counted.where(F.col("_copies") <= COPIES).withColumn("_piece", F.lit(0).cast("long"))
+    first = F.col("_piece") * COPIES
+    numbers = F.sequence(first, F.least(first + COPIES, F.col("_copies")) - 1)
+    rows = few.unionByName(pieces).select(*names, F.explode(numbers).alias("_number"))
+    return rows.select(*names, F.xxhash64(*names, "_number").alias(name))
