@@ -41,6 +41,7 @@ from quasirisk.operators.suda import (
     suda_scores,
 )
 from quasirisk.plans.ids import with_content_key, with_row_id
+from quasirisk.plans.quantile import approximate_percentiles
 from quasirisk.session import build_session
 from quasirisk.sources.profile import by_distinct, columns_of_kind, profile
 from quasirisk.sources.tables import (

@@ -26,7 +26,7 @@ from quasirisk.operators.risk import WEIGHT
 from quasirisk.plans.keys import col, collapse, key_names, keyed, may_equal, require_columns
 from quasirisk.plans.lookup import is_small, skew_safe_lookup
 from quasirisk.plans.materialize import materialize, materialize_measured
-from quasirisk.plans.quantile import exact_percentiles, percentiles_of_counts, value_counts
+from quasirisk.plans.quantile import approximate_percentiles, exact_percentiles, percentiles_of_counts, value_counts
 
 PREFIX = "cig_"
 
@@ -160,11 +160,21 @@ def cell_information_gain(
 
 
 def personal_information_factor(
-    gains: DataFrame, percentile: int = 95, weight: str | None = WEIGHT
+    gains: DataFrame, percentile: int = 95, weight: str | None = WEIGHT, approximate: bool = False
 ) -> DataFrame:
-    """One row: percentile, pif (that percentile of RIG), safe_level."""
+    """One row: percentile, pif (that percentile of RIG), safe_level.
+
+    ``approximate`` reads the gains once, without storing their values, and adds low, high
+    (the exact percentile lies between them) and rank_error.
+    """
     if not 0 <= percentile <= 100:
         raise ValueError("Give a percentile from 0 to 100.")
+    if approximate:
+        found = approximate_percentiles(gains, "RIG", [percentile / 100], weight)
+        return found.select(
+            F.lit(percentile).alias("percentile"), F.col("value").alias("pif"),
+            safe_level(F.col("value")).alias("safe_level"), "low", "high", "rank_error",
+        )
     points = exact_percentiles(gains, "RIG", [percentile / 100], weight)
     return points.select(
         F.lit(percentile).alias("percentile"),

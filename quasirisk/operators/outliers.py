@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quasirisk.plans.keys import clean, col, require_columns
-from quasirisk.plans.materialize import Measured
-from quasirisk.plans.quantile import select_ranks, value_counts
+from quasirisk.plans.quantile import approximate_ranks, select_ranks, value_counts, weighted_values
 
 # Consistency constant of the MAD, default threshold, fewest values tested.
 MAD_SCALE = 0.6745
@@ -29,25 +29,33 @@ class Scale:
     mad: float
 
 
-def _figures(values: DataFrame, nonzero: bool) -> Scale | None:
+def _exact(values: DataFrame, fractions: list[float]) -> tuple[int, list[float]]:
+    return select_ranks(values, fractions).get((), (0, []))
+
+
+def _approximate(values: DataFrame, fractions: list[float]) -> tuple[int, list[float]]:
+    rows, found = approximate_ranks(values, fractions)
+    return rows, [a.value for a in found]
+
+
+def _figures(values: DataFrame, nonzero: bool, select: Callable) -> Scale | None:
     """Quartiles and MAD of rows (x, n); two selections, without shuffling values."""
     values = values.where("x <> 0") if nonzero else values
-    for rows, (q1, median, q3) in select_ranks(values, [0.25, 0.5, 0.75]).values():
-        if rows < MIN_VALUES:
-            return None
-        # An infinite value is infinitely far from an infinite median only if they differ.
-        distance = F.when(F.col("x") == median, F.lit(0.0)).otherwise(F.abs(F.col("x") - median))
-        mads = select_ranks(values.select(distance.alias("x"), "n"), [0.5])
-        return Scale(nonzero, rows, q1, median, q3, mads[()][1][0])
-    return None
+    rows, points = select(values, [0.25, 0.5, 0.75])
+    if rows < MIN_VALUES:
+        return None
+    q1, median, q3 = points
+    # An infinite value is infinitely far from an infinite median only if they differ.
+    distance = F.when(F.col("x") == median, F.lit(0.0)).otherwise(F.abs(F.col("x") - median))
+    return Scale(nonzero, rows, q1, median, q3, select(values.select(distance.alias("x"), "n"), [0.5])[1][0])
 
 
-def _robust_scale(counts: Measured, zero_fallback: bool) -> Scale | None:
+def _robust_scale(values: DataFrame, zero_fallback: bool, select: Callable = _exact) -> Scale | None:
     """The scale to test with; the non-zero values are looked at only if the MAD is zero."""
-    scale = _figures(counts.table, nonzero=False)
+    scale = _figures(values, False, select)
     if scale is None or scale.mad > 0 or not zero_fallback:
         return scale
-    scale = _figures(counts.table, nonzero=True)
+    scale = _figures(values, True, select)
     return scale if scale is not None and scale.mad > 0 else None
 
 
@@ -70,16 +78,22 @@ def mad_outliers(
     k: float = DEFAULT_K,
     two_sided: bool = False,
     zero_fallback: bool = True,
+    approximate: bool = False,
 ) -> DataFrame:
     """Outlying rows: row_id, value, z_score with z > k (or |z| > k when two_sided).
 
     Fewer than five values: no rows.  When the MAD is zero, zero_fallback repeats the
     test on the non-zero values alone (nothing if that is not possible either); without
-    it every value other than the median is infinitely far out.
+    it every value other than the median is infinitely far out.  ``approximate`` takes
+    median and MAD from one histogram each, over the rows as they are: the median is off by
+    at most 1/128 of itself, the MAD by 1/128 of itself and the error of the median.
     """
     require_columns(df, [column])
     require_columns(df, [row_id])
-    scale = _robust_scale(value_counts(df, column), zero_fallback)
+    if approximate:
+        scale = _robust_scale(weighted_values(df, column), zero_fallback, _approximate)
+    else:
+        scale = _robust_scale(value_counts(df, column).table, zero_fallback)
     values = df.select(col(row_id), clean(df, column).cast("double").alias("value"))
     if scale is None:
         return values.where(F.lit(False)).withColumn("z_score", F.lit(None).cast("double"))
@@ -99,7 +113,7 @@ def boxplot_statistics(
     """
     require_columns(df, [column])
     counts = value_counts(df, column)
-    scale = _robust_scale(counts, zero_fallback)
+    scale = _robust_scale(counts.table, zero_fallback)
     kept = counts.table.where(F.lit(False)) if scale is None else counts.table.where(_tested(F.col("x"), scale))
     scale = scale or Scale(False, 0, 0.0, 0.0, 0.0, 1.0)
     quarter = lambda q: _z(F.lit(q), scale)

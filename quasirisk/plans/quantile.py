@@ -1,16 +1,18 @@
-"""Exact percentiles of a column of any size, with frequency weights.
+"""Percentiles of a column of any size, with frequency weights.
 
 Selection by histograms: one combinable aggregate counts the weight below each power of two
 (and sign), the driver picks the bucket that holds each wanted rank, and the next aggregate
 splits just those buckets into equal parts, until few values are left, which are ranked.
 Values in one bucket share their exponent, so 52 bits of fraction need at most five more
 passes.  A pass shuffles bucket sums, never values, however many there are; the driver
-receives at most BUCKETS rows for each group and rank.
+receives at most BUCKETS rows for each group and rank.  The approximate form stops after one
+histogram and says how far off its ranks can be.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from math import ceil, floor, inf
 
 from pyspark.sql import Column, DataFrame
@@ -24,15 +26,16 @@ BUCKETS = 4096
 RANKED_VALUES = 1024
 
 
+def weighted_values(df: DataFrame, value: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Non-null values ``x`` with weight ``n`` (and the ``by`` columns)."""
+    n = col(weight) if weight else F.lit(1)
+    values = df.select(*by, clean(df, value).cast("double").alias("x"), n.cast("long").alias("n"))
+    return values.where(F.col("x").isNotNull())
+
+
 def value_counts(df: DataFrame, value: str, weight: str | None = None, by: Sequence[str] = ()) -> Measured:
     """Materialised distinct non-null values ``x`` with total weight ``n`` (per ``by`` group)."""
-    n = col(weight) if weight else F.lit(1)
-    counts = (
-        df.select(*by, clean(df, value).cast("double").alias("x"), n.cast("long").alias("n"))
-        .where(F.col("x").isNotNull())
-        .groupBy(*by, "x")
-        .agg(F.sum("n").alias("n"))
-    )
+    counts = weighted_values(df, value, weight, by).groupBy(*by, "x").agg(F.sum("n").alias("n"))
     return materialize_measured(counts)
 
 
@@ -144,3 +147,72 @@ def exact_percentiles(
     if any(not 0 <= p <= 1 for p in fractions):
         raise ValueError("Fractions must be between 0 and 1.")
     return percentiles_of_counts(value_counts(df, value, weight, by), fractions, by)
+
+
+# Parts of each power of two in the approximate histogram: a bucket is at most 1/64 wide.
+APPROXIMATE_PARTS = 64
+
+
+def _log_linear(x: Column) -> Column:
+    """A bucket number that never falls as x rises, with APPROXIMATE_PARTS equal parts per power of two.
+
+    A logarithm that is off by one at a power of two gives the same number: part 64 of one
+    power is part 0 of the next.
+    """
+    power = F.floor(F.log2(F.abs(x)))
+    part = F.floor(F.abs(x) / F.pow(F.lit(2.0), power.cast("double")) * APPROXIMATE_PARTS)
+    number = F.when(F.abs(x) == inf, F.lit(4000 * APPROXIMATE_PARTS)).otherwise((power + 2000) * APPROXIMATE_PARTS + part)
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * number).cast("long")
+
+
+@dataclass(frozen=True)
+class Approximate:
+    """A percentile from one histogram: the exact one lies in [low, high].
+
+    ``rank_error`` is the share of the rows in that range, so it bounds how far the rank of
+    ``value`` is from the wanted one.
+    """
+
+    value: float
+    low: float
+    high: float
+    rank_error: float
+
+
+def approximate_ranks(rows: DataFrame, fractions: Sequence[float]) -> tuple[int, list[Approximate]]:
+    """Total weight and approximate percentiles of rows (x, n), x not NULL, in one aggregate.
+
+    Nothing is stored or sorted; a task sends one row per bucket it met.  Buckets are at most
+    1/64 of their values wide, and a value that repeats alone in its bucket is exact.
+    """
+    histogram = _histogram(rows, _log_linear(F.col("x")), [])
+    total = sum(r["n"] for r in histogram)
+    if not total:
+        return 0, []
+
+    def percentile(p: float) -> Approximate:
+        position = p * (total - 1)
+        first, before = _value_at(histogram, 0, floor(position))
+        last, below = _value_at(histogram, 0, ceil(position))
+        low, high = first["lo"], last["hi"]
+        if low == high or abs(low) == inf or abs(high) == inf:
+            return Approximate(low, low, high, 0.0 if low == high else (below + last["n"] - before) / total)
+        one, other = ((r["lo"] + (r["hi"] - r["lo"]) / 2) for r in (first, last))
+        value = one + (other - one) * (position - floor(position))
+        return Approximate(value, low, high, (below + last["n"] - before) / total)
+
+    return total, [percentile(p) for p in fractions]
+
+
+def approximate_percentiles(
+    df: DataFrame, value: str, fractions: Sequence[float], weight: str | None = None
+) -> DataFrame:
+    """Percentiles from one pass: fraction, value, low, high, rank_error; NULLs are left out.
+
+    The exact percentile lies in [low, high].  No rows for a table without values.
+    """
+    if any(not 0 <= p <= 1 for p in fractions):
+        raise ValueError("Fractions must be between 0 and 1.")
+    _, found = approximate_ranks(weighted_values(df, value, weight), fractions)
+    rows = [(float(p), a.value, a.low, a.high, a.rank_error) for p, a in zip(fractions, found)]
+    return df.sparkSession.createDataFrame(rows, "fraction double, value double, low double, high double, rank_error double")

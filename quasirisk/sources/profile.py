@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quasirisk.plans.keys import clean, require_columns
 from quasirisk.sources.tables import kinds_map
@@ -13,13 +14,16 @@ from quasirisk.sources.tables import kinds_map
 # Fixed value: more distinct values than this make a column continuous.
 MAX_CATEGORIES = 45
 KINDS = ("Categorical", "Continuous")
+# Columns from which on values are counted as rows.
+WIDE_COLUMNS = 32
 
 
 def profile(df: DataFrame, overrides: Mapping[str, str] | None = None, approximate: bool = False) -> DataFrame:
     """One row per column: column, n_distinct (non-null), kind.
 
     ``overrides`` maps columns to "Categorical" or "Continuous".  ``approximate`` counts
-    with a fixed-size sketch, one pass without a shuffle of values.
+    with a fixed-size sketch, one pass without a shuffle of values.  Tables of more than
+    WIDE_COLUMNS columns are turned into rows (column, value) that meet in one aggregate.
     """
     overrides = dict(overrides or {})
     if overrides:
@@ -28,18 +32,56 @@ def profile(df: DataFrame, overrides: Mapping[str, str] | None = None, approxima
             raise ValueError(f"Unknown kinds: {bad}")
     count = F.approx_count_distinct if approximate else F.count_distinct
     counted = df.select(*[clean(df, c).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    row = counted.agg(*[count(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(df.columns))])
+    wide = [f.name for f in counted.schema.fields if _has_text(f.dataType)] if not approximate else []
+    wide = wide if len(wide) > WIDE_COLUMNS else []
     entries = [
         F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"c{i}").alias("n_distinct"))
-        for i, c in enumerate(df.columns)
-    ]
+        for i, c in enumerate(df.columns) if f"c{i}" not in wide
+    ]
+    long = _counts_of_rows(counted, wide, df.columns) if wide else None
+    if entries:
+        row = counted.agg(*[count(F.col(c)).alias(c) for c in counted.columns if c not in wide])
+        few = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        long = long.unionByName(few).orderBy("position") if long else few
     kind = F.when(F.col("n_distinct") > MAX_CATEGORIES, F.lit(KINDS[1])).otherwise(F.lit(KINDS[0]))
     if overrides:
         kind = F.coalesce(F.try_element_at(kinds_map(overrides), F.col("column")), kind)
-    long = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
     return long.select("column", "n_distinct", kind.alias("kind"))
 
 
+def _has_text(dtype: T.DataType) -> bool:
+    """Whether different values of the type differ as text."""
+    plain = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.BinaryType, T.TimestampType, T.TimestampNTZType)
+    return isinstance(dtype, plain)
+
+
+def _as_text(name: str, dtype: T.DataType) -> Column:
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return (F.col(name) + F.lit(0).cast(dtype)).cast("string")  # -0.0 is 0.0
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(name)
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(name).cast("string")  # local times may repeat
+    return F.col(name).cast("string")
+
+
+def _counts_of_rows(df: DataFrame, wide: list[str], titles: list[str]) -> DataFrame:
+    """(position, column, n_distinct) of the wide ones of columns c0, c1, ..., NULLs not counted.
+
+    A row of the table becomes one narrow row per column.  Tasks combine them first, so a
+    value held by a third of all rows leaves each task once; values are spread over the
+    shuffle by column and value, and only their counts meet in the end.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    at = {c: int(c[1:]) for c in wide}
+    cells = [F.struct(F.lit(at[c]).alias("position"), _as_text(c, types[c]).alias("v")) for c in wide]
+    rows = df.select(F.explode(F.array(*cells)).alias("e")).select("e.position", "e.v")
+    counts = rows.where("v IS NOT NULL").distinct().groupBy("position").agg(F.count("v").alias("n_distinct"))
+    # One row per column of the table; a column without values has no count.
+    listed = df.sparkSession.createDataFrame([(at[c], titles[at[c]]) for c in wide], "position int, column string")
+    return listed.join(counts, "position", "left").fillna(0, ["n_distinct"]).orderBy("position")
+
+
 def by_distinct(profiled: DataFrame) -> DataFrame:
     """Profile with the most varied columns first."""
     return profiled.orderBy(F.desc("n_distinct"), "column")

@@ -1,10 +1,11 @@
+import bisect
 import math
 import random
 
 import pytest
 
 import quasirisk.plans.quantile as quantile
-from quasirisk import boxplot_statistics, mad_outliers
+from quasirisk import approximate_percentiles, boxplot_statistics, mad_outliers
 from quasirisk.plans.quantile import exact_percentiles
 from tests.brute_force import percentile
 
@@ -128,3 +129,39 @@ def test_selection_takes_few_passes_whatever_the_values(spark, monkeypatch):
         a, b = ordered[int(low)], ordered[min(int(low) + 1, len(values) - 1)]
         assert got[f"p{i}"] == (a if a == b or share == 0 or abs(a) == float("inf") else a + (b - a) * share)
     assert len(passes) <= 7
+
+
+@pytest.mark.parametrize("shape", ["spread", "ties", "powers"])
+def test_approximate_percentiles_keep_their_bound(spark, shape):
+    draw = random.Random(shape)
+    values = {
+        "spread": [draw.lognormvariate(0, 3) * draw.choice((-1, 1)) for _ in range(1500)],
+        "ties": [draw.choice((0.0, -0.0, 1.0, 1.0, 7.5, -3.0)) for _ in range(300)],
+        "powers": [2.0**e * draw.choice((1, 1 + 2**-52, 1 - 2**-53)) for e in range(-1070, 1020)] + [math.inf, -math.inf],
+    }[shape]
+    weights = [draw.randint(1, 4) for _ in values]
+    rows = [*zip(values, weights), (None, 3), (float("nan"), 2)]
+    df = spark.createDataFrame(rows, "v double, w long").repartition(5)
+    whole = sorted(v for v, w in zip(values, weights) for _ in range(w))
+    fractions = [0.0, 0.01, 0.25, 0.5, 0.77, 0.95, 1.0]
+    for r in approximate_percentiles(df, "v", fractions, "w").collect():
+        position = r["fraction"] * (len(whole) - 1)
+        for rank in (math.floor(position), math.ceil(position)):
+            assert r["low"] <= whole[rank] <= r["high"] and r["low"] <= r["value"] <= r["high"]
+        below, upto = bisect.bisect_left(whole, r["value"]), bisect.bisect_right(whole, r["value"])
+        away = max(0, below - math.ceil(position), math.floor(position) - upto) / len(whole)
+        assert away <= r["rank_error"] <= 1
+        if shape == "ties":
+            assert r["value"] == percentile(whole, r["fraction"]) and r["rank_error"] in (0.0, r["rank_error"])
+    assert approximate_percentiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_approximate_outliers(spark):
+    draw = random.Random(1)
+    rows = [(i, draw.gauss(100, 5) if i % 50 else draw.choice((300.0, -200.0))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    ids = lambda **o: {r["id"] for r in mad_outliers(df, "v", "id", 8.0, two_sided=True, **o).collect()}
+    assert ids() == ids(approximate=True) == {i for i in range(0, 1000, 50)}
+    zeros = df.selectExpr("id", "IF(id % 10 > 3, 0.0, v) AS v")
+    assert mad_outliers(zeros, "v", "id", 8.0, approximate=True).count() == mad_outliers(zeros, "v", "id", 8.0).count() > 0
+    assert mad_outliers(df.limit(4), "v", "id", approximate=True).count() == 0

@@ -3,6 +3,7 @@ from datetime import datetime
 
 import pytest
 
+import quasirisk.sources.profile as profiles
 from quasirisk import (
     attribute_contributions,
     by_distinct,
@@ -71,6 +72,20 @@ def test_profile(spark, five_rows):
             profile(wide, bad)
 
 
+def test_wide_profile(spark, monkeypatch):
+    """Values counted as rows give the same as one count per column, whatever their type."""
+    rows = [(i, None if i % 5 == 0 else i % 3, "x" if i % 2 else None, -0.0 if i % 4 else 0.0, i % 2 == 0, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "`a.b` long, n long, s string, d double, b boolean, nothing string").selectExpr(
+        "*", "double('nan') AS nan", "timestamp_seconds(`a.b` * 1800 + 1729990000) AS t", "date_add(date'2024-01-01', int(n)) AS day",
+        "cast(s AS binary) AS raw", "cast(n AS decimal(20, 3)) AS dec", "array(n) AS list", "float(n) / 3 AS f",
+    )
+    narrow = [tuple(r) for r in profile(df).collect()]
+    monkeypatch.setattr(profiles, "WIDE_COLUMNS", 2)
+    assert [tuple(r) for r in profile(df).collect()] == narrow
+    assert {r[0]: r[1] for r in narrow}["t"] == 60 and {r[0]: r[1] for r in narrow}["nothing"] == 0
+    assert [r[1] for r in profile(df.limit(0)).collect()] == [0] * len(df.columns)
+
+
 def test_small_helpers(spark, five_rows):
     assert project(five_rows, ["age", "city"]).columns == ["age", "city"]
     assert preview(spark.range(50)).count() == 10

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("risk", "gains", "special_uniques", "outliers", "mitigation", "tables", "wide")
+MODULES = ("risk", "gains", "special_uniques", "outliers", "mitigation", "tables", "wide", "variants")
 
 
 def registered():
