@@ -32,15 +32,16 @@ def sf_dir():
 
 
 @pytest.fixture(scope="session")
-def five_rows(spark):
-    """Five people; expected values in the tests were worked out by hand."""
+def loans(spark):
+    """Readers of a library; expected values in the tests follow from the definitions by hand."""
     return spark.createDataFrame(
         [
-            (0, 50000, "New York", "HR", 25),
-            (1, 60000, "Los Angeles", "Engineering", 35),
-            (2, 70000, "New York", "Marketing", 45),
-            (3, 50000, "San Francisco", "HR", 25),
-            (4, 60000, "Los Angeles", "Engineering", 35),
+            (0, 120, "Harbour", "maps", 14),
+            (1, 80, "Hill", "plays", 22),
+            (2, 120, "Harbour", "plays", 14),
+            (3, 95, "Mill", "maps", 31),
+            (4, 80, "Hill", "plays", 22),
+            (5, 95, "Harbour", "maps", 31),
         ],
-        "id long, salary long, city string, department string, age long",
+        "id long, fee long, branch string, genre string, visits long",
     )

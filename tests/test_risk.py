@@ -20,7 +20,7 @@ from quasirisk import (
 from quasirisk.functions import python_round
 from tests.brute_force import uniques
 
-QI = ["salary", "city", "department"]
+QI = ["fee", "branch", "genre"]
 SLOW = settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 small = st.lists(
     st.tuples(
@@ -37,16 +37,16 @@ def plain(rows):
     return [{"a": a, "b": b, "c": None if c != c else c} for a, b, c in rows]
 
 
-def test_five_rows_summary(five_rows):
-    row = risk_summary(five_rows.drop("id"), QI, "salary").first()
+def test_loans_summary(loans):
+    row = risk_summary(loans.drop("id"), QI, "fee").first()
     assert row.asDict() == {
-        "total_rows": 5, "total_columns": 4, "num_selected_columns": 3, "num_unique_rows": 3,
+        "total_rows": 6, "total_columns": 4, "num_selected_columns": 3, "num_unique_rows": 4,
         "k_anonymity": 1, "l_diversity": 1,
     }
-    assert risk_summary(five_rows, QI).first()["l_diversity"] is None
-    assert unique_rows(five_rows, QI).first()[0] == 3
-    assert k_anonymity(five_rows, ["department"]).first()[0] == 1
-    assert l_diversity(five_rows, ["city"], "department").first()[0] == 1
+    assert risk_summary(loans, QI).first()["l_diversity"] is None
+    assert unique_rows(loans, QI).first()[0] == 4
+    assert k_anonymity(loans, ["genre"]).first()[0] == 3
+    assert l_diversity(loans, ["branch"], "genre").first()[0] == 1
 
 
 def test_empty_and_all_null_groups(spark):
@@ -58,20 +58,20 @@ def test_empty_and_all_null_groups(spark):
     assert (row["num_unique_rows"], row["k_anonymity"], row["l_diversity"]) == (1, 2, 0)
 
 
-def test_five_rows_influence(five_rows):
-    got = {r["column"]: tuple(r)[1:3] + (r["normalized_difference"],) for r in column_influence(five_rows, QI).collect()}
-    assert got == {"salary": (3, 0, 0.0), "city": (1, 2, 0.7), "department": (3, 0, 0.0)}
-    assert column_influence(five_rows, ["city"]).count() == 0
+def test_loans_influence(loans):
+    got = {r["column"]: tuple(r)[1:3] + (r["normalized_difference"],) for r in column_influence(loans, QI).collect()}
+    assert got == {"fee": (2, 2, 0.7), "branch": (2, 2, 0.7), "genre": (2, 2, 1.0)}
+    assert column_influence(loans, ["branch"]).count() == 0
 
 
-def test_five_rows_combinations(five_rows):
-    got = {r["combination"]: (r["unique_rows"], r["unique_rows_excluding"], round(r["score"], 3))
-           for r in combination_contribution(five_rows, QI, 1, 2).collect()}
+def test_loans_combinations(loans):
+    got = {r["combination"]: (r["unique_rows"], r["unique_rows_excluding"], r["score"])
+           for r in combination_contribution(loans, QI, 1, 2).collect()}
     assert got == {
-        "salary": (1, 3, 0.0), "city": (1, 1, 2.0), "department": (1, 3, 0.0), "salary, city": (3, 1, 0.667),
-        "salary, department": (1, 1, 2.0), "city, department": (3, 1, 0.667),
+        "fee": (0, 2, None), "branch": (1, 2, 2.0), "genre": (0, 2, None), "fee, branch": (2, 0, 2.0),
+        "fee, genre": (2, 1, 1.5), "branch, genre": (2, 0, 2.0),
     }
-    full = combination_contribution(five_rows, QI, 3, 7).collect()
+    full = combination_contribution(loans, QI, 3, 7).collect()
     assert [(r["unique_rows_excluding"], r["score"]) for r in full] == [(0, 1.0)]
 
 
@@ -117,17 +117,17 @@ def test_python_round_is_correct(spark):
             assert got[i] == (None if v is None else round(v, digits)), (v, digits)
 
 
-@pytest.mark.parametrize("qi", [[], ["nope"], ["city", "city"]])
-def test_bad_columns(five_rows, qi):
+@pytest.mark.parametrize("qi", [[], ["nope"], ["branch", "branch"]])
+def test_bad_columns(loans, qi):
     for call in (unique_rows, k_anonymity, risk_summary, column_influence, combination_contribution):
         with pytest.raises(ValueError):
-            call(five_rows, qi)
+            call(loans, qi)
 
 
-def test_bad_sizes(five_rows):
+def test_bad_sizes(loans):
     for low, high in ((0, 2), (3, 2), (4, 5)):
         with pytest.raises(ValueError):
-            combination_contribution(five_rows, QI, low, high)
+            combination_contribution(loans, QI, low, high)
 
 
 def test_collapsed_table_gives_the_same(spark):

@@ -23,7 +23,7 @@ from quasirisk.operators.suda import msu_weights
 from tests.brute_force import msus
 from tests.test_risk import SCHEMA, SLOW, plain, small
 
-QI = ["salary", "city", "department"]
+QI = ["fee", "branch", "genre"]
 
 
 def found_sets(df, qi, **options):
@@ -33,14 +33,14 @@ def found_sets(df, qi, **options):
     return found
 
 
-def test_five_rows(five_rows):
-    assert found_sets(five_rows, QI) == {
-        0: {("salary", "city"), ("city", "department")}, 2: {("salary",), ("department",)}, 3: {("city",)},
+def test_loans(loans):
+    assert found_sets(loans, QI) == {
+        0: {("fee", "genre")}, 2: {("fee", "genre"), ("branch", "genre")}, 3: {("branch",)}, 5: {("fee", "branch")},
     }
-    scores = {r["id"]: r for r in suda_scores(five_rows, QI, "id").collect()}
-    assert [scores[i]["score"] for i in range(5)] == [2.0, 0.0, 4.0, 2.0, 0.0]
-    theta = 0.2 * 3 / (0.2 * 3 + 1.6)
-    assert scores[2]["dis_score"] == round(4 * theta * 3 / 8, 4)
+    scores = {r["id"]: r for r in suda_scores(loans, QI, "id").collect()}
+    assert [scores[i]["score"] for i in range(6)] == [1.0, 0.0, 2.0, 2.0, 0.0, 1.0]
+    theta = 0.2 * 4 / (0.2 * 4 + 1.6)
+    assert scores[2]["dis_score"] == round(2 * theta * 4 / 6, 4)
 
 
 @SLOW
@@ -149,9 +149,9 @@ def test_same_result_under_other_partitions(spark):
     assert results[0] == results[1]
 
 
-def test_encoding(spark, five_rows):
-    codes = {(r["variable"], r["value"]): r["code"] for r in category_codes(five_rows, ["city", "age"]).collect()}
-    assert codes == {("city", "Los Angeles"): 0, ("city", "New York"): 1, ("city", "San Francisco"): 2}
+def test_encoding(spark, loans):
+    codes = {(r["variable"], r["value"]): r["code"] for r in category_codes(loans, ["branch", "visits"]).collect()}
+    assert codes == {("branch", "Harbour"): 0, ("branch", "Hill"): 1, ("branch", "Mill"): 2}
     df = spark.createDataFrame([(0, "b", 5), (1, None, 6), (2, "a", None)], "id long, s string, n long")
     got = {r["id"]: (r["s"], r["n"]) for r in encode_categories(df, ["s", "n"], "id").collect()}
     assert got == {0: (1.0, 5.0), 1: (-1.0, 6.0), 2: (0.0, None)}
@@ -171,16 +171,16 @@ def test_encoding_without_broadcast(spark, monkeypatch):
         assert {r["id"]: (r["s"], r["t"], r["n"]) for r in got} == expected
 
 
-def test_record_table(five_rows):
-    got = {r["id"]: r for r in suda_record_table(five_rows, QI, "id").collect()}
-    assert (got[2]["salary"], got[2]["city"], got[2]["department"], got[2]["score"]) == (70000.0, 1.0, 2.0, 4.0)
+def test_record_table(loans):
+    got = {r["id"]: r for r in suda_record_table(loans, QI, "id").collect()}
+    assert (got[2]["fee"], got[2]["branch"], got[2]["genre"], got[2]["score"]) == (120.0, 0.0, 1.0, 2.0)
 
 
-def test_bad_arguments(five_rows):
+def test_bad_arguments(loans):
     for size in (0, 4):
         with pytest.raises(ValueError):
-            minimal_sample_uniques(five_rows, QI, "id", max_size=size)
+            minimal_sample_uniques(loans, QI, "id", max_size=size)
     with pytest.raises(ValueError):
-        suda_scores(five_rows, QI, "id", sample_fraction=0.0)
+        suda_scores(loans, QI, "id", sample_fraction=0.0)
     with pytest.raises(ValueError):
-        suda_scores(five_rows, [], "id")
+        suda_scores(loans, [], "id")

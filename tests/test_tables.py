@@ -28,7 +28,7 @@ from quasirisk import (
 from quasirisk.plans.materialize import materialize
 from quasirisk.sources import sinks
 
-QI = ["salary", "city", "department"]
+QI = ["fee", "branch", "genre"]
 
 
 def write(path, text):
@@ -56,7 +56,7 @@ def test_load_tsv_and_schema(spark, tmp_path):
         load_table(spark, path, schema=spark.createDataFrame([], "nope int").schema)
 
 
-def test_profile(spark, five_rows):
+def test_profile(spark, loans):
     wide = spark.range(46).selectExpr("id", "id % 45 AS few", "cast(null as string) AS nothing", "cast('NaN' as double) AS x")
     got = {r["column"]: (r["n_distinct"], r["kind"]) for r in profile(wide).collect()}
     assert got == {
@@ -65,8 +65,8 @@ def test_profile(spark, five_rows):
     flipped = profile(wide, {"id": "Categorical", "few": "Continuous"})
     assert {r["column"] for r in columns_of_kind(flipped, "Continuous").collect()} == {"few"}
     assert by_distinct(profile(wide)).first()["column"] == "id"
-    rough = {r["column"]: r["n_distinct"] for r in profile(five_rows, approximate=True).collect()}
-    assert rough["city"] == 3
+    rough = {r["column"]: r["n_distinct"] for r in profile(loans, approximate=True).collect()}
+    assert rough["branch"] == 3
     for bad in ({"nope": "Continuous"}, {"id": "Other"}):
         with pytest.raises(ValueError):
             profile(wide, bad)
@@ -86,8 +86,8 @@ def test_wide_profile(spark, monkeypatch):
     assert [r[1] for r in profile(df.limit(0)).collect()] == [0] * len(df.columns)
 
 
-def test_small_helpers(spark, five_rows):
-    assert project(five_rows, ["age", "city"]).columns == ["age", "city"]
+def test_small_helpers(spark, loans):
+    assert project(loans, ["visits", "branch"]).columns == ["visits", "branch"]
     assert preview(spark.range(50)).count() == 10
     assert sensitive_attribute([("a", False), ("b", True), ("c", True)]) == "b"
     assert sensitive_attribute([("a", False)]) is None
@@ -98,14 +98,14 @@ def test_small_helpers(spark, five_rows):
     assert distinct_values(df, "v", with_null=True).count() == 5
 
 
-def test_dictionary(spark, tmp_path, five_rows):
-    entries = {"city": {"Description": "home", "Levels": {"a": 1}}, "other": {"x": 2}}
+def test_dictionary(spark, tmp_path, loans):
+    entries = {"branch": {"Description": "home", "Levels": {"a": 1}}, "other": {"x": 2}}
     path = write(tmp_path / "dictionary.json", json.dumps(entries, indent=2))
     dictionary = load_dictionary(spark, path)
-    assert json.loads(describe_column(dictionary, "city").first()["metadata"]) == entries["city"]
-    assert describe_column(dictionary, "age").first()["metadata"] == "not available"
-    joined = {r["column"]: r["metadata"] for r in combine_dictionary(profile(five_rows), dictionary).collect()}
-    assert json.loads(joined["city"]) == entries["city"] and joined["age"] == "not available"
+    assert json.loads(describe_column(dictionary, "branch").first()["metadata"]) == entries["branch"]
+    assert describe_column(dictionary, "visits").first()["metadata"] == "not available"
+    joined = {r["column"]: r["metadata"] for r in combine_dictionary(profile(loans), dictionary).collect()}
+    assert json.loads(joined["branch"]) == entries["branch"] and joined["visits"] == "not available"
 
 
 def test_row_ids(spark, tmp_path):
@@ -125,21 +125,21 @@ def header_and_rows(path):
     return lines[0][0], [x for part in lines for x in part[1:]]
 
 
-def test_sinks(spark, tmp_path, five_rows):
+def test_sinks(spark, tmp_path, loans):
     out = lambda name: str(tmp_path / name)
-    gains = cell_information_gain(five_rows, QI, "id")
+    gains = cell_information_gain(loans, QI, "id")
     header, rows = header_and_rows(sinks.write_gains(gains, "id", out("gains.csv")))
-    assert header == "id,salary,city,department,RIG" and rows[0].startswith("2,")
-    records = suda_record_table(five_rows, QI, "id")
+    assert header == "id,fee,branch,genre,RIG" and rows[0].startswith(("1,", "4,"))
+    records = suda_record_table(loans, QI, "id")
     header, rows = header_and_rows(sinks.write_suda_records(records, "id", out("suda.csv")))
-    assert header == "salary,city,department,dis-score,score" and rows[0].startswith("70000.0,1.0,2.0")
-    shares = rounded(attribute_contributions(five_rows, QI, "id"))
+    assert header == "fee,branch,genre,dis-score,score" and rows[0].startswith(("120.0,0.0,1.0", "95.0,2.0,0.0"))
+    shares = rounded(attribute_contributions(loans, QI, "id"))
     header, rows = header_and_rows(sinks.write_contributions(shares, out("shares.csv"), QI))
     assert header == "index,variable,contribution" and [r.split(",")[0] for r in rows] == ["0", "1", "2"]
-    header, rows = header_and_rows(sinks.write_influence(column_influence(five_rows, QI), out("influence.csv")))
+    header, rows = header_and_rows(sinks.write_influence(column_influence(loans, QI), out("influence.csv")))
     assert header == "Column,Unique Rows After Removal,Difference in Unique Rows,Normalized Difference"
-    assert rows[0] == "city,1,2,0.7"
-    path = sinks.write_combinations(combination_contribution(five_rows, QI, 1, 2), out("results"))
+    assert rows[0] == "genre,2,2,1.0"
+    path = sinks.write_combinations(combination_contribution(loans, QI, 1, 2), out("results"))
     header, rows = header_and_rows(path)
     assert header == "Combination,Unique Rows,Unique Rows Excluding Columns,Score" and len(rows) == 6
     assert sinks.default_name("suda", datetime(2024, 5, 6, 7, 8, 9)) == "sudaresult_20240506_070809.csv"
