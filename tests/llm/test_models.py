@@ -1,5 +1,6 @@
 """Language model and classifier: exact base figures, likelihoods and held-out accuracy."""
 
+import itertools
 import math
 import os
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quasirisk.llm import hmm
 from quasirisk.llm.classifier import quality_scores
@@ -33,8 +35,11 @@ def test_base_scores(docs, pairs, monkeypatch, broadcast):
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9)
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    # The base has one chance for all unknown words; here they are spelled, for a fair comparison.
+    spelling = hmm.learn_spelling(hmm.count_tokens(docs.filter(hmm.fold(F.col("doc_id"), 10) != 0)))
+    spelled = spelling.log10([w for i, ws in tokens if held_out(i, 10) for w in ws if counts[w] == 0]).sum()
     unseen = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen) + spelled
 
 
 def test_known_tokens_that_differ_in_nul(spark):
@@ -45,6 +50,94 @@ def test_known_tokens_that_differ_in_nul(spark):
     assert (got[test[0]], got[test[1]]) == (2, 3)
 
 
+def random_model(states, classes, seed=0):
+    rng = np.random.default_rng(seed)
+    share = lambda *shape: (x := rng.random(shape)) / x.sum(-1, keepdims=True)
+    return Model(share(states), share(states, states), np.ascontiguousarray(share(states, classes).T))
+
+
+@pytest.mark.parametrize("segment", [1, 2, 3, 5, 256])
+def test_expected_counts_are_those_of_whole_texts(monkeypatch, segment):
+    """Against the plain forward-backward recursion over each uncut text."""
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm, "WIDTH", 4)
+    model, rng = random_model(3, 6), np.random.default_rng(1)
+    lines = [rng.integers(0, 6, n) for n in (1, 2, 3, 5, 6, 11, 23, 40)]
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))
+    for line in lines:
+        forward = [model.start * model.emit[line[0]]]
+        for c in line[1:]:
+            forward.append((forward[-1] @ model.move) * model.emit[c])
+        backward = [np.ones(3)]
+        for c in line[:0:-1]:
+            backward.append(model.move @ (model.emit[c] * backward[-1]))
+        backward.reverse()
+        total = forward[-1].sum()
+        start += forward[0] * backward[0] / total
+        for t, c in enumerate(line):
+            emit[c] += forward[t] * backward[t] / total
+            if t:
+                move += np.outer(forward[t - 1], model.emit[c] * backward[t]) * model.move / total
+    sums = {"start": np.zeros(3), "move": np.zeros((3, 3)), "emit": np.zeros((6, 3))}
+    hmm.add_groups(model, [line.astype("<u2").tobytes() for line in lines], sums)
+    assert np.allclose(sums["start"], start) and np.allclose(sums["move"], move) and np.allclose(sums["emit"], emit)
+
+
+def test_spelling_adds_up_to_one():
+    """Over all strings, and over those of each class."""
+    usable = np.zeros(256)
+    usable[[97, 98]] = 1.0
+    rows, symbols, starts = hmm.chain([b"a", b"ab", b"abb", b"ba"])
+    assert list(symbols) == [256, 97, 256, 97, 98, 256, 97, 98, 98, 256, 98, 97] and list(starts) == [0, 2, 5, 9]
+    assert (rows == hmm.CONTEXTS).tolist() == [i in (1, 4, 8, 11) for i in range(12)]
+    spelling = hmm.Spelling.learnt(rows * 257 + symbols, np.ones(12), usable)
+    tokens = [bytes(t) for n in range(1, 15) for t in itertools.product([97, 98], repeat=n)]
+    chances = 10 ** spelling.log10(tokens)
+    assert 0.98 < chances.sum() <= 1 + 1e-9
+    want = np.zeros(hmm.SHARED)
+    for token, chance in zip(tokens, chances):
+        want[hmm.shared_class(token) - hmm.OWN] += chance
+    found = spelling.of_classes()
+    assert found.sum() == pytest.approx(1)
+    assert ((want > 0) == (found > 0)).all() and (found - want > -1e-12).all() and np.allclose(found, want, atol=0.02)
+
+
+@pytest.mark.parametrize("broadcast", [None, 60])
+def test_chances_of_all_tokens_add_up_to_one(docs, monkeypatch, broadcast):
+    """Known tokens and the room for unknown ones, in every class, and the classes together."""
+    monkeypatch.setattr(hmm, "BROADCAST_TOKENS", broadcast or hmm.BROADCAST_TOKENS)
+    monkeypatch.setattr(hmm, "OWN", 40)
+    monkeypatch.setattr(hmm, "CLASSES", 40 + hmm.SHARED)
+    # Workers number the shared classes as the module has them.
+    counts = hmm.count_tokens(docs).withColumn("shared", F.expr("shared - 16384 + 40")).cache()
+    vocabulary = hmm.build_vocabulary(counts, docs.count())
+    assert vocabulary.prior().sum() == pytest.approx(1)
+    spelling, unknown = vocabulary.spelling, vocabulary.unknown()
+    rows = sorted(counts.collect(), key=lambda r: (-r["c"], r["token"]))
+    spelled = 10 ** spelling.log10([r["token"].encode() for r in rows])
+    room = spelling.of_classes()
+    assert room.sum() == pytest.approx(1)
+    own = min(len(rows), 39, len(vocabulary.counts))
+    for r, chance in zip(rows[:own], spelled):
+        room[r["shared"] - 40] -= chance
+    assert np.allclose(room, vocabulary.room[40:])
+    # Each class: what its known tokens get, and the rest of the room.
+    mass = unknown[40:] * 1.0
+    for r in rows[own:]:
+        k = r["shared"]
+        mass[k - 40] += (1 - unknown[k]) * r["c"] / vocabulary.class_counts[k]
+    assert np.allclose(mass, 1.0)
+    assert len(vocabulary.log10_shares()) == len(vocabulary.counts) and (vocabulary.log10_shares() <= 1e-12).all()
+
+
+def test_long_unknown_words_have_a_finite_score(spark):
+    taught = [(i, "the cat sat on the mat") for i in range(60)]
+    i = next(i for i in range(100, 200) if held_out(i, 10))
+    rows = [*taught, (i, "cat " + "q" * 5000)]
+    got = {r["doc_id"]: r["score"] for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert math.isfinite(got[i]) and got[i] < -5000 < min(s for d, s in got.items() if d < 60)
+
+
 def test_likelihood_is_the_sum_over_all_state_paths():
     rng = np.random.default_rng(0)
     share = lambda *shape: (x := rng.random(shape)) / x.sum(-1, keepdims=True)
