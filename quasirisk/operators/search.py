@@ -7,8 +7,11 @@ ends where its rows are unique, so no superset of a unique set is looked at belo
 columns only ever follow in rank order, so no set is looked at twice.
 
 Work is shared out by class.  Classes of up to CLASS_ROWS rows are refined to the end inside
-one task, many at a time as arrays; larger ones are refined by another column in Spark,
-where a class is a group of an aggregate, until they are small enough, unique or done.
+one task, many at a time as arrays; larger ones are refined by another column, until they are
+small enough, unique or done.  Which classes are larger is found by counting: tasks count
+the cells of their rows as arrays and send cells, not rows, and cells of the greatest size
+need no more than that.  Rows are sent once for each column (or further set) that first makes
+their class small, and are written nowhere in between.
 """
 
 from __future__ import annotations
@@ -16,12 +19,15 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quasirisk.plans.keys import key_names
-from quasirisk.plans.materialize import materialize, materialize_measured
+from quasirisk.plans.materialize import materialize
 
 #: Rows of a class that one task refines, and rows a task refines at a time.
 CLASS_ROWS, TASK_ROWS = 50_000, 50_000
+#: Rows whose cells are counted together.
+COUNTED_ROWS = 200_000
 #: Pairs of sets that are compared at once.
 COMPARED = 1 << 22
 
@@ -36,12 +42,6 @@ def rank_order(base: DataFrame, m: int) -> list[int]:
     return sorted(range(m), key=lambda i: (-counts[i], i))
 
 
-def _classes(rows: DataFrame, m: int) -> DataFrame:
-    """Add ``g``, the class of a row: its mask and its keys inside the mask."""
-    inside = [f"IF(mask & {1 << i}L <> 0, {k}, NULL)" for i, k in enumerate(key_names(m))]
-    return rows.withColumn("g", F.expr(f"struct(mask, {', '.join(inside)})"))
-
-
 def refine(codes, weight, blocked, labels, start, depth):
     """Unique (rows, mask) below classes ``labels`` of the columns ``start`` (one mask per row).
 
@@ -75,12 +75,144 @@ def refine(codes, weight, blocked, labels, start, depth):
     return found
 
 
+def _numbers(column: pa.Array):
+    """Numbers of the values of a column; NULL is number 0."""
+    import numpy as np
+
+    return np.asarray(column.dictionary_encode().indices.fill_null(-1)).astype(np.int64) + 1
+
+
+def _places(codes, mask: int, classes: slice, begin: int):
+    """For each row from ``begin`` on, which of the ``classes`` it agrees with inside the mask, or -1."""
+    import numpy as np
+
+    known, own = np.zeros(classes.stop - classes.start, np.int64), np.zeros(len(codes[0]) - begin, np.int64)
+    for c in range(len(codes)):
+        if mask >> c & 1:
+            width = int(codes[c].max(initial=0)) + 1
+            pairs, known = np.unique(known * width + codes[c][classes], return_inverse=True)
+            wanted = own * width + codes[c][begin:]
+            at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+            own = np.where((own >= 0) & (pairs[at] == wanted), at, -1)
+    return own
+
+
+def _chunks(batches):
+    """Tables of about COUNTED_ROWS rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= COUNTED_ROWS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def _slices(classes: pa.Table, begin: int) -> dict[int, slice]:
+    """Where the classes of each mask are, which are listed by mask."""
+    import numpy as np
+
+    masks, first = np.unique(np.asarray(classes["mask"]), return_index=True)
+    ends = [*first[1:].tolist(), classes.num_rows]
+    return {k: slice(begin + a, begin + b) for k, a, b in zip(masks.tolist(), first.tolist(), ends)}
+
+
+def _grown(table: pa.Table, keys: list[str], large: pa.Table | None, larger: pa.Table | None = None):
+    """(mask, rows, labels) of the classes that one later column makes out of each of ``large``.
+
+    ``large`` has (mask, keys inside it) of large classes; None stands for the class of all
+    rows.  Rows in one of the classes ``larger`` are left out.  Labels are equal for rows of
+    one class.
+    """
+    import numpy as np
+
+    blocked = np.asarray(table["blocked"]).astype(np.int64)
+    listed = [t for t in (large, larger) if t is not None]
+    # Numbers of the keys of the classes and, behind them, of the rows.
+    codes = [_numbers(pa.concat_arrays([x for t in (*listed, table) for x in t[k].chunks])) for k in keys]
+    begin = sum(t.num_rows for t in listed)
+    within = _slices(large, 0) if large is not None else {0: slice(0, 0)}
+    beyond = _slices(larger, begin - larger.num_rows) if larger is not None else {}
+    for mask, classes in within.items():
+        place = _places(codes, mask, classes, begin) if mask else np.zeros(table.num_rows, np.int64)
+        for c in range(mask.bit_length(), len(keys)):
+            grown = mask | 1 << c
+            part = (place >= 0) & (blocked >> c & 1 == 0)
+            if grown in beyond:
+                part &= _places(codes, grown, beyond[grown], begin) < 0
+            rows = np.nonzero(part)[0]
+            if len(rows):
+                code = codes[c][begin:][rows]
+                yield grown, rows, place[rows] * (int(code.max()) + 1) + code
+
+
+def _key_columns(table: pa.Table, keys: list[str], at, shown) -> list[pa.Array]:
+    """Keys of some rows, as far as ``shown``; the others NULL."""
+    return [
+        table[k].take(at).combine_chunks() if shown(c) else pa.nulls(len(at), table.schema.field(k).type)
+        for c, k in enumerate(keys)
+    ]
+
+
+def _cells(ranked: DataFrame, keys: list[str], large) -> DataFrame:
+    """(mask, keys inside it, n, size, rid): the classes next to ``large`` with their weight, number of rows and one row."""
+
+    def work(batches):
+        import numpy as np
+
+        for table in _chunks(batches):
+            n, rid = np.asarray(table["n"]).astype(np.int64), table["rid"].combine_chunks()
+            for mask, rows, labels in _grown(table, keys, large.value):
+                if labels.max() > 4 * len(rows):
+                    labels = np.unique(labels, return_inverse=True)[1]
+                size = np.bincount(labels)
+                cell = np.nonzero(size)[0]
+                # Whole numbers below 2**53.
+                weight = np.bincount(labels, n[rows])[cell].astype(np.int64)
+                first = np.zeros(len(size), np.int64)
+                first[labels] = rows
+                at = pa.array(first[cell])
+                cells = [pa.array(np.full(len(cell), mask)), *_key_columns(table, keys, at, lambda c: mask >> c & 1)]
+                cells += [pa.array(weight), pa.array(size[cell]), rid.take(at)]
+                yield pa.RecordBatch.from_arrays(cells, names=["mask", *keys, "n", "size", "rid"])
+
+    fields = ranked.schema
+    schema = T.StructType([T.StructField("mask", T.LongType()), *[fields[k] for k in keys], T.StructField("n", T.LongType()),
+                           T.StructField("size", T.LongType()), fields["rid"]])
+    sums = [F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("rid").alias("rid")]
+    return ranked.mapInArrow(work, schema).groupBy("mask", *keys).agg(*sums)
+
+
+def _dealt(ranked: DataFrame, keys: list[str], large, larger) -> DataFrame:
+    """Rows of the classes next to ``large`` that are not among ``larger``, once for each such class.
+
+    Keys that come before the last one of the mask and are not inside it are no longer needed.
+    """
+
+    def work(batches):
+        import numpy as np
+
+        for table in _chunks(batches):
+            for mask, rows, _ in _grown(table, keys, large.value, larger.value):
+                for begin in range(0, len(rows), TASK_ROWS):
+                    at = pa.array(rows[begin : begin + TASK_ROWS])
+                    shown = lambda c: mask >> c & 1 or c >= mask.bit_length()  # noqa: E731, B023
+                    columns = [pa.array(np.full(len(at), mask)), *_key_columns(table, keys, at, shown)]
+                    columns += [table[c].take(at).combine_chunks() for c in ("n", "rid", "blocked")]
+                    yield pa.RecordBatch.from_arrays(columns, names=["mask", *keys, "n", "rid", "blocked"])
+
+    return ranked.mapInArrow(work, T.StructType([T.StructField("mask", T.LongType()), *ranked.schema.fields]))
+
+
 def _refined(rows: DataFrame, m: int, depth: int) -> DataFrame:
     """Candidates of whole classes; rows of a class lie next to each other in one task."""
     keys = key_names(m)
-    dealt = rows.repartition("g").sortWithinPartitions("g")
-    # A number per class: equal to the one of the row before, or one more.
-    listed = dealt.select(F.hash("g").alias("h"), "g", "mask", "rid", "n", "blocked", *keys)
+    # A hash of the class: classes that share one are told apart in the task.
+    inside = [F.expr(f"IF(mask & {1 << i}L <> 0, {k}, NULL)") for i, k in enumerate(keys)]
+    hashed = rows.withColumn("h", F.xxhash64("mask", *inside))
+    listed = hashed.repartition("h").sortWithinPartitions("h", "mask").select("h", "mask", "rid", "n", "blocked", *keys)
 
     def work(batches):
         import numpy as np
@@ -89,9 +221,7 @@ def _refined(rows: DataFrame, m: int, depth: int) -> DataFrame:
             table = pa.Table.from_batches(tables).combine_chunks()
             codes = []
             for k in keys:
-                indices = table.column(k).combine_chunks().dictionary_encode().indices
-                # NULL is number 0.
-                codes.append(np.asarray(indices.fill_null(-1)).astype(np.int64) + 1)
+                codes.append(_numbers(table.column(k).combine_chunks()))
             start = np.asarray(table.column("mask")).astype(np.int64)
             # Classes of one mask are told apart by their keys inside it.
             labels = np.zeros(len(start), np.int64)
@@ -127,7 +257,7 @@ def _refined(rows: DataFrame, m: int, depth: int) -> DataFrame:
             yield from flush(held)
 
     schema = rows.select("rid", "mask").schema
-    return listed.drop("g").mapInArrow(work, schema)
+    return listed.mapInArrow(work, schema)
 
 
 def unique_sets(base: DataFrame, m: int, blocked: Column, depth: int) -> DataFrame:
@@ -135,7 +265,8 @@ def unique_sets(base: DataFrame, m: int, blocked: Column, depth: int) -> DataFra
 
     Each is unique while the set without its last column in rank order is not, so every
     minimal set is among them.  ``base`` has k0.., n and rid; ``blocked`` is a bitmask of
-    columns a row takes no part in.  Masks are of the columns as given.
+    columns a row takes no part in.  Masks are of the columns as given.  ``base`` is read
+    several times, so it should be stored.
     """
     order = rank_order(base, m)
     keys = key_names(m)
@@ -143,23 +274,22 @@ def unique_sets(base: DataFrame, m: int, blocked: Column, depth: int) -> DataFra
     for place, c in enumerate(order):
         moved = moved.bitwiseOR(F.shiftleft(F.shiftright(blocked, c).bitwiseAND(F.lit(1).cast("long")), place))
     ranked = base.select(*[F.col(keys[c]).alias(f"c{place}") for place, c in enumerate(order)], "n", "rid", moved.alias("blocked"))
-    ranked = materialize(ranked.toDF(*keys, "n", "rid", "blocked"))
+    ranked = ranked.toDF(*keys, "n", "rid", "blocked")
+    spark = base.sparkSession
+    large = spark.sparkContext.broadcast(None)
     found = []
-    rows = ranked.withColumn("mask", F.lit(0).cast("long"))
     for size in range(1, depth + 1):
-        later = F.expr(f"transform(sequence(0, {m - 1}), c -> shiftleft(1L, c))")
-        free = F.filter(later, lambda bit: (bit > F.col("mask")) & (bit.bitwiseAND(F.col("blocked")) == 0))
-        rows = _classes(rows.withColumn("bit", F.explode(free)).withColumn("mask", F.expr("mask + bit")).drop("bit"), m)
-        # Fewer than m * rows / CLASS_ROWS classes are large.
-        large = materialize_measured(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CLASS_ROWS).select("g"))
-        if large.rows == 0:
-            found.append(_refined(rows, m, depth))
-            break
-        heavy = large.table if large.bytes > (32 << 20) else F.broadcast(large.table)
-        found.append(_refined(rows.join(heavy, "g", "left_anti"), m, depth))
+        cells = _cells(ranked, keys, large)
         if size == depth:
+            found.append(cells.where("n = 1").select("rid", "mask"))
+            break
+        # Fewer than rows / CLASS_ROWS for each set that is looked at.
+        listed = cells.where(F.col("size") > CLASS_ROWS).select("mask", *keys).toArrow()
+        larger = spark.sparkContext.broadcast(listed.sort_by("mask") if listed.num_rows else None)
+        found.append(_refined(_dealt(ranked, keys, large, larger), m, depth))
+        if not listed.num_rows:
             break
-        rows = materialize(rows.join(heavy, "g", "left_semi").drop("g"))
+        large = larger
     all_found = found[0]
     for more in found[1:]:
         all_found = all_found.union(more)
@@ -197,10 +327,20 @@ def minimal_sets(base: DataFrame, m: int, blocked: Column, depth: int) -> DataFr
         import numpy as np
 
         for batch in batches:
-            lists = [minimal_masks(np.asarray(row.values)) for row in batch.column(1)]
-            ends = pa.array(np.concatenate(([0], np.cumsum(list(map(len, lists))))), pa.int32())
-            flat = pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, flat)], names=["rid", "msus"])
+            lists = batch.column(1)
+            masks = np.asarray(lists.flatten()).astype(np.int64)
+            owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+            sizes = np.bitwise_count(masks)
+            order = np.lexsort((masks, sizes, owner))
+            masks, owner, sizes = masks[order], owner[order], sizes[order]
+            kept = np.append(True, (masks[1:] != masks[:-1]) | (owner[1:] != owner[:-1]))[: len(masks)]
+            # Sets of one size do not contain each other.
+            bounds = np.searchsorted(owner, np.arange(len(lists) + 1))
+            for i in np.nonzero(sizes[bounds[:-1]] != sizes[bounds[1:] - 1])[0]:
+                part = slice(bounds[i], bounds[i + 1])
+                kept[part] &= np.isin(masks[part], minimal_masks(masks[part]))
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(owner[kept], minlength=len(lists)))), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(masks[kept]))], names=["rid", "msus"])
 
     return found.mapInArrow(work, found.schema)
 

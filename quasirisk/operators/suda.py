@@ -18,7 +18,7 @@ from quasirisk.operators.search import minimal_sets
 from quasirisk.plans.keys import bits_where, col, collapse, key_names, may_equal, require_columns, require_mask_width
 from quasirisk.plans.lattice import subset_cells, subset_masks
 from quasirisk.plans.lookup import attach_unique
-from quasirisk.plans.materialize import Measured, materialize, materialize_measured
+from quasirisk.plans.materialize import Measured, materialize, materialize_measured, stored
 
 # Up to this many subsets are counted together; beyond, classes are refined recursively.
 ONE_PASS_SUBSETS = 127
@@ -71,14 +71,18 @@ def special_uniques(
     if not 1 <= top <= m:
         raise ValueError("max_size must lie between 1 and the number of columns.")
     blocked = _missing_bits(df, qi, missing_value, missing_nulls)
+    few = sum(math.comb(m, size) for size in range(1, top + 1)) <= ONE_PASS_SUBSETS
     if base is None:
-        base = materialize(collapse(df, qi, row_id, weight))
-    keys = key_names(m)
+        collapsed = collapse(df, qi, row_id, weight)
+        if not few:
+            with stored(collapsed) as base:
+                return materialize_measured(minimal_sets(base, m, blocked, top))
+        base = materialize(collapsed)
 
     def uniques(counted: DataFrame) -> DataFrame:
         return counted.where(F.col("n") == 1).groupBy("rid").agg(F.collect_list("mask").alias("found"))
 
-    if sum(math.comb(m, size) for size in range(1, top + 1)) <= ONE_PASS_SUBSETS:
+    if few:
         found = uniques(subset_cells(base, m, subset_masks(m, 1, top), blocked, with_id=True))
         return materialize_measured(found.select("rid", _minimal(F.col("found")).alias("msus")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -44,6 +45,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Types that Parquet keeps as they are.
+PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.BinaryType, T.TimestampType, T.TimestampNTZType)
+
+
+@contextmanager
+def stored(df: DataFrame):
+    """``materialize`` for many rows with few values: compressed, and deleted at the end of the block.
+
+    What is made out of the table has to be materialised inside the block.
+    """
+    if not all(isinstance(f.dataType, PLAIN) for f in df.schema.fields):
+        yield materialize(df)
+        return
+    spark = df.sparkSession
+    path = new_path(spark, "stored")
+    df.write.option("compression", "zstd").parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @dataclass(frozen=True)
 class Measured:
     """A materialised table with its row count, size in bytes and other observed sums."""
