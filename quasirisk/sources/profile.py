@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ MAX_CATEGORIES = 45
 KINDS = ("Categorical", "Continuous")
 # Columns from which on values are counted as rows.
 WIDE_COLUMNS = 32
+# Different values, over all columns, that a task holds before it passes them on.
+HELD_VALUES = 500_000
 
 
 def profile(df: DataFrame, overrides: Mapping[str, str] | None = None, approximate: bool = False) -> DataFrame:
@@ -23,7 +26,8 @@ def profile(df: DataFrame, overrides: Mapping[str, str] | None = None, approxima
 
     ``overrides`` maps columns to "Categorical" or "Continuous".  ``approximate`` counts
     with a fixed-size sketch, one pass without a shuffle of values.  Tables of more than
-    WIDE_COLUMNS columns are turned into rows (column, value) that meet in one aggregate.
+    WIDE_COLUMNS columns are turned into rows (column, value), different ones of each task, that
+    meet in one aggregate.
     """
     overrides = dict(overrides or {})
     if overrides:
@@ -55,28 +59,74 @@ def _has_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, plain)
 
 
-def _as_text(name: str, dtype: T.DataType) -> Column:
+def _comparable(name: str, dtype: T.DataType) -> Column:
+    """The column as a long, text or bytes: equal where and only where the values are."""
+    c = F.col(name)
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        return (F.col(name) + F.lit(0).cast(dtype)).cast("string")  # -0.0 is 0.0
-    if isinstance(dtype, T.BinaryType):
-        return F.hex(name)
+        return c.cast("double") + F.lit(0.0)  # -0.0 is 0.0
+    if isinstance(dtype, T.DecimalType):
+        return c.cast("string")
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(name).cast("string")  # local times may repeat
-    return F.col(name).cast("string")
+        return F.unix_micros(c)  # local times may repeat
+    if isinstance(dtype, T.TimestampNTZType):
+        return c.cast("string")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c)
+    if isinstance(dtype, T.StringType):
+        return c.cast("string")
+    return c if isinstance(dtype, T.BinaryType) else c.cast("long")
+
+
+def _bytes_of(values: pa.Array) -> pa.Array:
+    """Different values of one column as different bytes."""
+    import numpy as np
+
+    if pa.types.is_floating(values.type):
+        values = pa.array(np.asarray(values).view(np.int64))
+    if pa.types.is_integer(values.type):
+        values = values.cast(pa.string())
+    return values.cast(pa.binary())
 
 
 def _counts_of_rows(df: DataFrame, wide: list[str], titles: list[str]) -> DataFrame:
     """(position, column, n_distinct) of the wide ones of columns c0, c1, ..., NULLs not counted.
 
-    A row of the table becomes one narrow row per column.  Tasks combine them first, so a
-    value held by a third of all rows leaves each task once; values are spread over the
+    Tasks find the different values of each column as arrays, up to HELD_VALUES at a time, so
+    a value that is common leaves each task once or a few times; values are spread over the
     shuffle by column and value, and only their counts meet in the end.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     at = {c: int(c[1:]) for c in wide}
-    cells = [F.struct(F.lit(at[c]).alias("position"), _as_text(c, types[c]).alias("v")) for c in wide]
-    rows = df.select(F.explode(F.array(*cells)).alias("e")).select("e.position", "e.v")
-    counts = rows.where("v IS NOT NULL").distinct().groupBy("position").agg(F.count("v").alias("n_distinct"))
+
+    def distinct(batches):
+        held: dict = {}  # by column: different values so far, and arrays of later ones
+        size = 0
+
+        def merged():
+            return {c: [pa.concat_arrays(arrays).unique()] for c, arrays in held.items()}
+
+        def flush():
+            for c, (values,) in held.items():
+                values = _bytes_of(values)
+                yield pa.RecordBatch.from_arrays([pa.array([at[c]] * len(values), pa.int32()), values], names=["position", "v"])
+
+        for batch in batches:
+            for c, column in zip(wide, batch.columns, strict=True):
+                values = column.unique().drop_null()
+                if len(values):
+                    held.setdefault(c, []).append(values)
+                    size += len(values)
+            if size > HELD_VALUES:
+                held = merged()
+                size = sum(len(values) for (values,) in held.values())
+                if size > HELD_VALUES // 2:
+                    yield from flush()
+                    held, size = {}, 0
+        held = merged()
+        yield from flush()
+
+    rows = df.select(*[_comparable(c, types[c]).alias(c) for c in wide]).mapInArrow(distinct, "position int, v binary")
+    counts = rows.distinct().groupBy("position").agg(F.count("v").alias("n_distinct"))
     # One row per column of the table; a column without values has no count.
     listed = df.sparkSession.createDataFrame([(at[c], titles[at[c]]) for c in wide], "position int, column string")
     return listed.join(counts, "position", "left").fillna(0, ["n_distinct"]).orderBy("position")
