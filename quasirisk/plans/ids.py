@@ -10,8 +10,8 @@ from quasirisk.plans.keys import col
 
 # monotonically_increasing_id() keeps the position in the low 33 bits.
 POSITION_BITS = 33
-# Copies of one row that a task writes out at a time.
-COPIES = 100_000
+# Copies of one row that are written out as one piece, and copies above which they are dealt out.
+COPIES, FEW_COPIES = 10_000, 4
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -44,19 +44,22 @@ def with_content_key(df: DataFrame, name: str = "content_key") -> DataFrame:
 
     Equal rows are counted, which combines in the tasks, and written out again from the
     count, so it does not matter where they were: repeated runs, other partitionings and
-    repeated tasks give the same pairs of row and key.  Counts above COPIES are written out
-    in pieces by several tasks.  -0.0 becomes 0.0.  Different rows share a key only if their
-    64-bit hashes collide.
+    repeated tasks give the same pairs of row and key.  Counts are small where the rows are
+    many, so those above FEW_COPIES are cut into pieces of COPIES and dealt out to all
+    shuffle partitions: a task writes its share of the rows, however few there are to tell
+    apart.  -0.0 becomes 0.0.  Different rows share a key only if their 64-bit hashes collide.
     """
     if maps := [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]:
         raise ValueError(f"Columns whose content has no order: {maps}. Give a row id.")
     names = [col(c) for c in df.columns]
     counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
     last = F.floor((F.col("_copies") - 1) / COPIES)
-    many = counted.where(F.col("_copies") > COPIES)
+    many = counted.where(F.col("_copies") > FEW_COPIES)
     pieces = many.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_piece"))
-    pieces = pieces.repartition("_piece", *names)
-    few = counted.where(F.col("_copies") <= COPIES).withColumn("_piece", F.lit(0).cast("long"))
+    # A given number of partitions stays; those of adaptive execution are merged by the bytes before writing out.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = pieces.repartition(parts, "_piece", *names)
+    few = counted.where(F.col("_copies") <= FEW_COPIES).withColumn("_piece", F.lit(0).cast("long"))
     first = F.col("_piece") * COPIES
     numbers = F.sequence(first, F.least(first + COPIES, F.col("_copies")) - 1)
     rows = few.unionByName(pieces).select(*names, F.explode(numbers).alias("_number"))
