@@ -33,9 +33,7 @@ CLASSES = OWN + SHARED
 #: Tokens whose counts are broadcast at most; the rest is joined.
 BROADCAST_TOKENS = 262_144
 #: Tokens of a training segment, and segments or texts worked on together.
-SEGMENT, WIDTH = 256, 512
-#: Segments, chosen by hash from all texts, that give the first parameters, and rounds over them.
-START_SEGMENTS, START_ROUNDS = 4000, 12
+SEGMENT, WIDTH = 1024, 256
 #: Rows of the spelling model for the two bytes after a byte, its mark for either end of a token,
 #: and the weight of the bytes' overall chances in each row.
 CONTEXTS, EDGE, SPELLING_PRIOR = 4096, 256, 2.0
@@ -474,29 +472,13 @@ def add_groups(model: Model, raws, sums) -> None:
         expected_counts(model, pieces[at : at + WIDTH], sums)
 
 
-def start_segments(encoded: DataFrame) -> list[bytes]:
-    """START_SEGMENTS segments from anywhere in the texts, the first by a hash of their classes.
-
-    Only a starting point: every parameter is learnt again from all texts.
-    """
-    every = F.sequence(F.lit(0), F.length("classes") - 1, F.lit(2 * SEGMENT))
-    cut = encoded.select("classes", F.explode(every).alias("at"))
-    cut = cut.select(F.expr(f"substring(classes, at + 1, {2 * SEGMENT})").alias("segment"))
-    return [r["segment"] for r in cut.orderBy(F.xxhash64("segment")).limit(START_SEGMENTS).collect()]
-
-
 def train(encoded: DataFrame, prior, rounds: int) -> Model:
-    """Baum-Welch: first parameters from some segments, then rounds over all whole texts."""
+    """Baum-Welch: every round, from the first on, runs over all whole texts."""
     import numpy as np
 
     spark = encoded.sparkSession
     size = len(prior)
     model = first_model(prior)
-    raws = start_segments(encoded)
-    for _ in range(START_ROUNDS if raws else 0):
-        sums = empty_sums(size)
-        add_groups(model, raws, sums)
-        model = next_model(sums, prior)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
@@ -544,7 +526,7 @@ def log10_likelihoods(model: Model, raws) -> list[float]:
     return out.tolist()
 
 
-def score_texts(docs: DataFrame, folds: int = 10, rounds: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 10, rounds: int = 6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per row.
 
     Learns from the rows whose crc32(doc_id as text) is no multiple of ``folds``.  Tokens are
