@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +33,12 @@ STATES, OWN, SHARED = 8, 16_384, 1024
 CLASSES = OWN + SHARED
 #: Tokens whose counts are broadcast at most; the rest is joined.
 BROADCAST_TOKENS = 262_144
-#: Tokens of a training segment, and segments or texts worked on together.
-SEGMENT, WIDTH = 1024, 256
+#: Tokens of a training segment; segments or texts worked on together at most, and tokens of such
+#: a group; matrices worked on together; steps of a block that scoring has at hand.
+SEGMENT, WIDTH, AREA, MATRICES, BLOCK = 1024, 1024, 1 << 18, 256, 1024
+#: Chances are scaled at every so many steps.  No emission of a trained model over N tokens lies
+#: below about 0.1 * PRIOR / N ** 2, so that none becomes zero in between.
+SCALED = 8
 #: Rows of the spelling model for the two bytes after a byte, its mark for either end of a token,
 #: and the weight of the bytes' overall chances in each row.
 CONTEXTS, EDGE, SPELLING_PRIOR = 4096, 256, 2.0
@@ -334,6 +339,22 @@ class Model:
     move: object  # row: from, column: to
     emit: object  # row: class, column: state
 
+    @cached_property
+    def rows(self):
+        """Emissions and moves with a row per state that is emitting or moved to."""
+        import numpy as np
+
+        return np.ascontiguousarray(self.emit.T), np.ascontiguousarray(self.move.T)
+
+    def chances(self, table, out=None):
+        """Emissions by time, state and sequence, state by state out of a row that stays in the cache."""
+        import numpy as np
+
+        out = np.empty((len(table), len(self.start), table.shape[1])) if out is None else out
+        for s, row in enumerate(self.rows[0]):
+            out[:, s] = row.take(table)
+        return out
+
 
 def first_model(prior, seed: int = 1) -> Model:
     """States that mostly stay, and emissions near the overall ones."""
@@ -347,15 +368,23 @@ def first_model(prior, seed: int = 1) -> Model:
 
 
 def padded(sequences):
-    """(classes by time and sequence, lengths), longest sequence first."""
+    """(classes by time and sequence, lengths, sequences live at each time) of sequences given longest first."""
     import numpy as np
 
-    sequences = sorted(sequences, key=len, reverse=True)
     lengths = np.array([len(s) for s in sequences])
-    table = np.zeros((lengths[0], len(sequences)), np.int64)
+    table = np.zeros((lengths[0], len(sequences)), np.intp)
     for i, s in enumerate(sequences):
         table[: len(s), i] = s
-    return table, lengths
+    return table, lengths, np.searchsorted(-lengths, -np.arange(lengths[0]), "left").tolist()
+
+
+def groups_of(lengths):
+    """Index ranges of at most WIDTH sequences, given longest first, and of at most AREA classes or one sequence."""
+    at = 0
+    while at < len(lengths):
+        end = min(len(lengths), at + min(WIDTH, max(1, AREA // lengths[at])))
+        yield at, end
+        at = end
 
 
 @dataclass
@@ -367,38 +396,58 @@ class Piece:
     after: object = None  # backward factors of the states at the end of the segment; None: the text ends here
 
 
-def expected_counts(model: Model, pieces: list[Piece], sums) -> float:
-    """Add the Baum-Welch counts of one group of segments to ``sums``; returns log likelihood."""
+def expected_counts(model: Model, pieces: list[Piece], sums, space=None) -> None:
+    """Add the Baum-Welch counts of one group of segments to ``sums``.
+
+    Chances lie by time, state and segment, in the two rows of ``space``.  They are scaled at
+    every SCALED-th step only; the backward chances of a segment start so that at its end
+    their products with the forward ones add up to 1.
+    """
     import numpy as np
 
     pieces = sorted(pieces, key=lambda p: len(p.classes), reverse=True)
-    table, lengths = padded([p.classes for p in pieces])
+    table, lengths, live = padded([p.classes for p in pieces])
     steps, n = table.shape
-    live = [int(np.searchsorted(-lengths, -t, "left")) for t in range(steps)]
-    emit = model.emit[table]  # steps x n x states
-    alpha, scale = np.zeros_like(emit), np.ones((steps, n))
+    states = len(model.start)
+    space = np.empty((2, steps * states * n)) if space is None else space
+    alpha, emit = space[:, : steps * states * n].reshape(2, steps, states, n)
+    model.chances(table, emit)
+    forth, back = model.rows[1], model.move
     inner = np.array([p.before is not None for p in pieces])
-    before = np.array([p.before if p.before is not None else np.zeros(len(model.start)) for p in pieces])
-    beta = np.array([p.after if p.after is not None else np.ones(len(model.start)) for p in pieces])
-    for t in range(steps):
-        k = live[t]
-        a = (np.where(inner[:, None], before @ model.move, model.start) if t == 0 else alpha[t - 1, :k] @ model.move) * emit[t, :k]
-        scale[t, :k] = a.sum(1)
-        alpha[t, :k] = a / scale[t, :k, None]
-    weights = np.zeros_like(emit)
+    before = np.array([p.before if p.before is not None else np.zeros(states) for p in pieces]).T
+    after = np.array([p.after if p.after is not None else np.ones(states) for p in pieces]).T
+    room = np.empty((states, n))
+    for t, k in enumerate(live):
+        now, chance, a = alpha[t, :, :k], emit[t, :, :k], room[:, :k]
+        if t:
+            np.matmul(forth, alpha[t - 1, :, :k], out=a)
+        else:
+            a[:] = np.where(inner, forth @ before, model.start[:, None])
+        np.multiply(a, chance, out=now)
+        if t % SCALED == 0:
+            scale = now.sum(0)
+            now /= scale
+            chance /= scale
+        if k < n:
+            alpha[t, :, k:] = 0.0
+    end = alpha[lengths - 1, :, np.arange(n)].T
+    beta = after / (end * after).sum(0)
+    room[:] = beta  # both hold the ends of segments not yet reached
+    moves = np.zeros((states, states))
     for t in range(steps - 1, -1, -1):
         k = live[t]
-        weights[t, :k] = alpha[t, :k] * beta[:k]
-        b = emit[t, :k] * beta[:k] / scale[t, :k, None]
+        weights, chance, b = alpha[t, :, :k], emit[t, :, :k], beta[:, :k]
+        weights *= b
+        chance *= b
         # Over the cut before a segment there is a step, too; before a text there is none.
-        sums["move"] += model.move * ((alpha[t - 1, :k] if t else before).T @ b)
-        beta[:k] = b @ model.move.T
-    sums["start"] += weights[0][~inner].sum(0)
-    seen = (np.arange(steps)[:, None] < lengths[None, :]).ravel()
-    flat = table.ravel()[seen]
-    for s in range(weights.shape[2]):
-        sums["emit"][:, s] += np.bincount(flat, weights[:, :, s].ravel()[seen], len(model.emit))
-    return float(np.log(scale).sum())
+        moves += (alpha[t - 1, :, :k] if t else before) @ chance.T
+        np.matmul(back, chance, out=room[:, :k])
+        beta, room = room, beta
+    sums["move"] += model.move * moves
+    sums["start"] += alpha[0][:, ~inner].sum(1)
+    flat = table.ravel()
+    for s in range(states):
+        sums["emit"][:, s] += np.bincount(flat, alpha[:, s].ravel(), len(model.emit))
 
 
 def products(model: Model, lines: list) -> list:
@@ -406,18 +455,26 @@ def products(model: Model, lines: list) -> list:
     import numpy as np
 
     size = len(model.start)
+    forth = model.rows[1]
     out: list = [None] * len(lines)
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
-    for at in range(0, len(order), WIDTH):
-        group = order[at : at + WIDTH]
-        table, lengths = padded([lines[i] for i in group])
-        made = np.broadcast_to(np.eye(size), (len(group), size, size)).copy()
-        for t in range(len(table)):
-            k = int(np.searchsorted(-lengths, -t, "left"))
-            step = (made[:k].reshape(-1, size) @ model.move).reshape(k, size, size) * model.emit[table[t, :k]][:, None, :]
-            made[:k] = step / step.sum((1, 2), keepdims=True)
-        for i, matrix in zip(group, made):
-            out[i] = matrix
+    for at in range(0, len(order), MATRICES):
+        group = order[at : at + MATRICES]
+        table, _, live = padded([lines[i] for i in group])
+        emit = model.chances(table)
+        # By last state, first state and line; ended lines are taken out.
+        made = np.repeat(np.eye(size)[:, :, None], len(group), 2)
+        room = np.empty_like(made)
+        for t, k in enumerate([*live, 0]):
+            if k < made.shape[2]:
+                for i, matrix in zip(group[k:], made[:, :, k:].transpose(2, 1, 0)):
+                    out[i] = matrix / matrix.sum()
+                group, made, room = group[:k], made[:, :, :k].copy(), np.empty((size, size, k))
+            if k:
+                np.matmul(forth, made.reshape(size, -1), out=room.reshape(size, -1))
+                np.multiply(room, emit[t, :, None, :k], out=made)
+                if t % SCALED == 0:
+                    made /= made.sum((0, 1))
     return out
 
 
@@ -467,9 +524,12 @@ def add_groups(model: Model, raws, sums) -> None:
     import numpy as np
 
     pieces = pieces_of(model, [np.frombuffer(raw, "<u2").astype(np.int64) for raw in raws])
-    pieces.sort(key=lambda p: len(p.classes))
-    for at in range(0, len(pieces), WIDTH):
-        expected_counts(model, pieces[at : at + WIDTH], sums)
+    pieces.sort(key=lambda p: -len(p.classes))
+    groups = list(groups_of([len(p.classes) for p in pieces]))
+    areas = [len(pieces[begin].classes) * (end - begin) for begin, end in groups]
+    space = np.empty((2, max(areas, default=0) * len(model.start)))
+    for begin, end in groups:
+        expected_counts(model, pieces[begin:end], sums, space)
 
 
 def train(encoded: DataFrame, prior, rounds: int) -> Model:
@@ -504,25 +564,29 @@ def log10_likelihoods(model: Model, raws) -> list[float]:
     """log10 probability of each whole class sequence, by the scaled forward recursion."""
     import numpy as np
 
+    emit_of, forth = model.rows
     out = np.zeros(len(raws))
     order = sorted(range(len(raws)), key=lambda i: -len(raws[i]))
     for at in range(0, len(order), WIDTH):
         group = order[at : at + WIDTH]
         lines = [np.frombuffer(raws[i], "<u2") for i in group]
-        lengths = np.array([len(x) for x in lines])
-        alpha, total = None, np.zeros(len(group))
-        for begin in range(0, int(lengths.max()), 1024):
-            block = np.zeros((min(1024, int(lengths.max()) - begin), len(group)), np.int64)
-            for i, x in enumerate(lines):
-                part = x[begin : begin + 1024]
-                block[: len(part), i] = part
-            for t in range(len(block)):
-                k = int(np.searchsorted(-lengths, -(begin + t), "left"))
-                a = (model.start if alpha is None else alpha[:k] @ model.move) * model.emit[block[t, :k]]
-                scale = a.sum(1)
-                alpha = a / scale[:, None]
-                total[:k] += np.log10(scale)
-        out[group] = total
+        longest = len(lines[0])
+        alpha, room, total = np.zeros((len(model.start), len(group))), np.empty((len(model.start), len(group))), np.zeros(len(group))
+        for begin in range(0, longest, BLOCK):
+            table, _, live = padded([part for x in lines if len(part := x[begin : begin + BLOCK])])
+            for t, k in enumerate(live, begin):
+                now, step = alpha[:, :k], room[:, :k]
+                if t:
+                    np.matmul(forth, now, out=step)
+                else:
+                    step[:] = model.start[:, None]
+                np.multiply(step, emit_of.take(table[t - begin, :k], 1), out=now)
+                if t % SCALED == 0:
+                    scale = now.sum(0)
+                    now /= scale
+                    total[:k] += np.log10(scale)
+        # What was not scaled since; chances of ended texts stay as they are.
+        out[group] = total + np.log10(alpha.sum(0))
     return out.tolist()
 
 
